@@ -78,3 +78,14 @@ def store_keys(
         .union(any_of("totals", totals.filter("records > 0")))
         .union(any_of("progress", progress))
     )
+
+
+def health(keys: DataFrame, max_hops: int, max_visited: int) -> DataFrame:
+    """One row: the store answers, how many keys it holds, and the search bounds."""
+    return keys.agg(F.coalesce(F.sum("keys"), F.lit(0)).cast("bigint").alias("keys")).select(
+        F.lit("ok").alias("status"),
+        F.lit("up").alias("store"),
+        "keys",
+        F.lit(max_hops).alias("max-hops"),
+        F.lit(max_visited).alias("max-visited"),
+    )

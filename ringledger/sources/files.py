@@ -11,21 +11,27 @@ from ringledger.sources.lines import RECORD_FIELDS, parse_format
 
 
 def _with_origin(lines: DataFrame) -> DataFrame:
-    """Lines with their file, and a number that grows along the first block of the file."""
+    """Lines with the file they come from and whether they are in its first block."""
     return lines.select(
         "value",
         F.col("_metadata.file_name").alias("source"),
         F.col("_metadata.file_path").alias("file_path"),
         F.col("_metadata.file_size").alias("file_size"),
-        F.when(
-            F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()
-        ).alias("head_id"),
+        (F.col("_metadata.file_block_start") == 0).alias("first_block"),
     )
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """Number the lines of each file's first block. A block is read by one task from its start
+    on, so the least number of a file is its first line, however the file is split."""
+    return lines.withColumn(
+        "head_id", F.when(F.col("first_block"), F.monotonically_increasing_id())
+    ).drop("first_block")
+
+
 def scan_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every line of every file below ``path``. Only a line feed ends a line."""
-    return _with_origin(spark.read.option("lineSep", "\n").text(path))
+    return numbered(_with_origin(spark.read.option("lineSep", "\n").text(path)))
 
 
 def stream_files(
@@ -37,7 +43,7 @@ def stream_files(
 ) -> DataFrame:
     """As :func:`scan_files`, for files that keep arriving, the present ones included.
 
-    ``archive`` moves files there once their micro-batch is committed.
+    Lines are numbered per micro-batch. ``archive`` moves files there once their micro-batch is committed.
     """
     reader = spark.readStream.option("lineSep", "\n")
     if max_files:
@@ -123,7 +129,10 @@ def with_marks(status: DataFrame, progress: DataFrame | None) -> DataFrame:
     """File status with the sequence each source was applied up to, 0 where unknown."""
     if progress is None:
         return status.withColumn("mark", F.lit(0).cast("decimal(20,0)"))
-    seen = progress.select("source", F.col("seq").alias("mark"))
+    asked = small_side(status.select("source").distinct())
+    seen = progress.join(asked, "source", "left_semi").select(
+        "source", F.col("seq").alias("mark")
+    )
     return status.join(seen, "source", "left").withColumn(
         "mark", F.coalesce("mark", F.lit(0).cast("decimal(20,0)"))
     )
