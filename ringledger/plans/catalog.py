@@ -351,7 +351,7 @@ def cdr_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The lines of all events, some of them broken in known ways."""
+    """The lines of all events, some of them broken in known ways, as a table of text."""
     intact = lines.to_lines(event_records(spark, sf_dir)).withColumn(
         "f", F.split("value", "\\|", -1)
     )
@@ -368,7 +368,8 @@ def _damaged_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(kind == 3, put(1, "4250205284090100"))
         .otherwise(F.col("f"))
     )
-    return intact.select(F.lit("events").alias("source"), F.concat_ws("|", fields).alias("value"))
+    broken = intact.select(F.lit("events").alias("source"), F.concat_ws("|", fields).alias("value"))
+    return cut(broken, "lines")
 
 
 @query

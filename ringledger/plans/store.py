@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import time
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,8 +80,13 @@ class Store:
         if self.is_published(stream_id, batch_id):
             return
         at = f"stream_id={stream_id}/batch_id={batch_id}"
-        for kind, df in frames.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/deltas/{kind}/{at}")
+
+        def write(kind: str) -> None:
+            frames[kind].write.mode("overwrite").parquet(f"{self.root}/deltas/{kind}/{at}")
+
+        # The small tables leave most of a cluster idle, so all are written side by side.
+        with ThreadPoolExecutor(max_workers=len(frames)) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(write), frames))
         row = self.spark.range(1).select(F.lit(run_id).alias("run_id"))
         if replaces is None:
             retired = F.array().cast("array<struct<stream_id:string,batch_id:bigint>>")

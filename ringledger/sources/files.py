@@ -106,10 +106,16 @@ def header_status(lines: DataFrame) -> DataFrame:
 
 
 def empty_files(spark: SparkSession, path: str | list[str], status: DataFrame) -> DataFrame:
-    """Files that hold no line at all. They come from Spark's own file listing."""
+    """Files that hold no line at all. They come from Spark's own file listing, which may
+    write a path with other slashes after its scheme than the rows do."""
     names = spark.read.text(path).inputFiles()
     listed = spark.createDataFrame([(n,) for n in names], "file_path string")
-    return listed.join(status, "file_path", "left_anti")
+    plain = F.regexp_replace("file_path", "^([a-zA-Z0-9+.-]+):/+", "$1:/").alias("_plain")
+    return (
+        listed.select("file_path", plain)
+        .join(status.select(plain), "_plain", "left_anti")
+        .drop("_plain")
+    )
 
 
 def file_report(spark: SparkSession, path: str | list[str], status: DataFrame) -> DataFrame:
