@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 100_000
 
 _local_dirs: dict[str, str] = {}
+_scratch = threading.local()
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -43,13 +47,32 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The plan restarts from a plain scan with known file sizes, and a lost executor costs a
-    re-read rather than a re-run of everything before.
+    re-read rather than a re-run of everything before. Inside :func:`scratch` the table goes
+    when the block ends; otherwise it stays as long as the folder does, like a checkpoint.
     """
     path = fresh_path(df.sparkSession, label)
+    if getattr(_scratch, "paths", None) is not None:
+        _scratch.paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut inside the block are deleted at its end. Only for work whose results are
+    written out before."""
+    outer = getattr(_scratch, "paths", None)
+    _scratch.paths = []
+    try:
+        yield
+    finally:
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _scratch.paths:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(conf).delete(at, True)
+        _scratch.paths = outer
+
+
 def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     """True when ``df`` was counted to hold at most ``rows`` rows."""
     return df.limit(rows + 1).count() <= rows

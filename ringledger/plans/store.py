@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringledger.functions.columns import present, sums
-from ringledger.functions.workspace import cut
+from ringledger.functions.workspace import cut, scratch
 from ringledger.operators import series
 from ringledger.operators.boards import all_boards
 from ringledger.operators.counters import merge_totals
@@ -103,23 +103,24 @@ class Store:
         Links are laid out in ranges of owner and peer, so a lookup skips row groups and an
         owner with many links is spread over several files.
         """
-        live = cut(self._live(), "live")
-        now = int(time.time()) if now is None else now
-        samples = series.sweep(self._samples(live), now, RETENTION_DAYS)
-        frames = {
-            "subscribers": self._summed("subscribers", ["msisdn"], SUBSCRIBER_COUNTERS, live),
-            "operators": self._summed("operators", ["mccmnc"], OPERATOR_COUNTERS, live),
-            "links": self._summed("links", ["owner", "peer"], LINK_COUNTERS, live)
-            .repartitionByRange("owner", "peer")
-            .sortWithinPartitions("owner", "peer"),
-            "totals": self._summed("totals", ["run_id"], TOTAL_COUNTERS, live),
-            "progress": self._progress(live),
-            "accounts": self._summed("accounts", ["source"], ("parsed", "rejected"), live),
-            "rejects": self._deltas("rejects", live).drop("stream_id", "batch_id"),
-            "files": self._deltas("files", live).drop("stream_id", "batch_id"),
-            "samples": samples,
-        }
-        self.publish(frames, f"compact-{uuid.uuid4().hex}", 0, replaces=live)
+        with scratch(self.spark):
+            live = cut(self._live(), "live")
+            now = int(time.time()) if now is None else now
+            samples = series.sweep(self._samples(live), now, RETENTION_DAYS)
+            frames = {
+                "subscribers": self._summed("subscribers", ["msisdn"], SUBSCRIBER_COUNTERS, live),
+                "operators": self._summed("operators", ["mccmnc"], OPERATOR_COUNTERS, live),
+                "links": self._summed("links", ["owner", "peer"], LINK_COUNTERS, live)
+                .repartitionByRange("owner", "peer")
+                .sortWithinPartitions("owner", "peer"),
+                "totals": self._summed("totals", ["run_id"], TOTAL_COUNTERS, live),
+                "progress": self._progress(live),
+                "accounts": self._summed("accounts", ["source"], ("parsed", "rejected"), live),
+                "rejects": self._deltas("rejects", live).drop("stream_id", "batch_id"),
+                "files": self._deltas("files", live).drop("stream_id", "batch_id"),
+                "samples": samples,
+            }
+            self.publish(frames, f"compact-{uuid.uuid4().hex}", 0, replaces=live)
 
     # --- published batches ---------------------------------------------------------------
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ringledger.functions.workspace import cut
+from ringledger.functions.workspace import cut, scratch
 from ringledger.operators import counters
 from ringledger.plans.store import Store
 from ringledger.sources import files
@@ -48,22 +48,23 @@ def fold_files(
     """
     if store.is_published(stream_id, batch_id):
         return
-    staged = files.stage(lines, record_format, **options)
-    status = cut(files.with_marks(files.header_status(staged), store.progress()), "files")
-    rows = files.admitted(staged, status)
-    records = files.new_records(rows)
-    store.publish(
-        _counted(records, run_id)
-        | {
-            "progress": files.progress_marks(records),
-            "accounts": files.accounting(rows),
-            "rejects": rejects_of(rows),
-            "files": status.select("file_path", "source", "ok", "format", "declared_count"),
-        },
-        stream_id,
-        batch_id,
-        run_id,
-    )
+    with scratch(store.spark):
+        staged = files.stage(lines, record_format, **options)
+        status = cut(files.with_marks(files.header_status(staged), store.progress()), "files")
+        rows = files.admitted(staged, status)
+        records = files.new_records(rows)
+        store.publish(
+            _counted(records, run_id)
+            | {
+                "progress": files.progress_marks(records),
+                "accounts": files.accounting(rows),
+                "rejects": rejects_of(rows),
+                "files": status.select("file_path", "source", "ok", "format", "declared_count"),
+            },
+            stream_id,
+            batch_id,
+            run_id,
+        )
 
 
 def fold_bodies(
@@ -78,23 +79,24 @@ def fold_bodies(
     """Fold messages of one record line each. They have no header, no source and no mark."""
     if store.is_published(stream_id, batch_id):
         return
-    parsed = cut(
-        parse_format(record_format, bodies.select("value"), **options).withColumn(
-            "source", F.lit("")
-        ),
-        "staged",
-    )
     good = F.col("reject_reason").isNull()
-    accounts = parsed.groupBy("source").agg(
-        F.count_if(good).alias("parsed"), F.count_if(~good).alias("rejected")
-    )
-    store.publish(
-        _counted(records_of(parsed), run_id)
-        | {"accounts": accounts, "rejects": rejects_of(parsed)},
-        stream_id,
-        batch_id,
-        run_id,
-    )
+    with scratch(store.spark):
+        parsed = cut(
+            parse_format(record_format, bodies.select("value"), **options).withColumn(
+                "source", F.lit("")
+            ),
+            "staged",
+        )
+        accounts = parsed.groupBy("source").agg(
+            F.count_if(good).alias("parsed"), F.count_if(~good).alias("rejected")
+        )
+        store.publish(
+            _counted(records_of(parsed), run_id)
+            | {"accounts": accounts, "rejects": rejects_of(parsed)},
+            stream_id,
+            batch_id,
+            run_id,
+        )
 
 
 def ingest_files(
