@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ringledger.functions.columns import id_text, plus, ratio
 from ringledger.functions.ranking import page_bounds, ranked
+from ringledger.functions.workspace import cut
 from ringledger.schema import OPERATOR_BOARDS, SUBSCRIBER_BOARDS, TOP_LIMIT, TOP_LIMIT_MAX
 
 
@@ -69,6 +70,7 @@ def board_count(entries: DataFrame) -> DataFrame:
 
 def leader_share(page: DataFrame) -> DataFrame:
     """Each entry of a page against the first entry of that page, its highest score."""
+    page = cut(page, "page")
     leader = page.agg(F.max("score")).scalar()
     return page.withColumn("of_leader", ratio(F.col("score"), leader))
 

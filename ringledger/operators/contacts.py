@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ringledger.functions.columns import id_text, ratio
 from ringledger.functions.ranking import page_bounds, ranked, top_per_group
-from ringledger.functions.workspace import small_side
+from ringledger.functions.workspace import cut, small_side
+from ringledger.operators.boards import board_page
 from ringledger.schema import PEER_LIMIT, PEER_LIMIT_MAX
 
 
@@ -45,7 +46,8 @@ def peer_page(
     offset, limit = page_bounds(offset, limit, PEER_LIMIT, PEER_LIMIT_MAX)
     order = peer_order(sort)
     if owners is not None:
-        links = links.join(small_side(owners.select("owner").distinct()), "owner", "left_semi")
+        asked = small_side(cut(owners.select("owner").distinct(), "owners"))
+        links = links.join(asked, "owner", "left_semi")
     if limit == 0:
         rows = ranked(links, ["owner"], order)
     else:
@@ -93,13 +95,8 @@ def voice_per_peer(subscribers: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def suggestions(entries: DataFrame, links: DataFrame, k: int, sort: str = "dur") -> DataFrame:
-    """The first ``k`` of a board, each with its heaviest peer. An entry in no link has none.
-
-    The page has at most ``k`` rows, so it is broadcast to pick the links it needs.
-    """
-    from ringledger.operators.boards import board_page
-
-    page = F.broadcast(board_page(entries, 0, k)) if k else board_page(entries, 0, 0)
+    """The first ``k`` of a board, each with its heaviest peer. An entry in no link has none."""
+    page = small_side(cut(board_page(entries, 0, k), "page"))
     wanted = page.select(F.col("id").cast("bigint").alias("owner"))
     first = heaviest_peers(links.join(wanted, "owner", "left_semi"), 1, sort).select(
         id_text("owner").alias("id"), id_text("peer").alias("peer")

@@ -69,6 +69,47 @@ def total_sums() -> list[Column]:
     return [F.count("*").alias("records")] + _usage_sums(_TOTAL_SUMS, TOTAL_COUNTERS[1:])
 
 
+def batch_summary(rows: DataFrame) -> DataFrame:
+    """Everything of a batch that is small, in one pass: totals per source and operator.
+
+    ``rows`` are parsed lines with ``counted`` true for the records that count. Operator 0
+    holds what counts for no operator. Totals, operators, marks and accounting are sums of
+    the result, see :func:`summary_tables`.
+    """
+    counted = F.col("counted")
+    known = counted & (F.col("msisdn") != 0)
+    zero = F.lit(0).cast("bigint")
+    return (
+        rows.withColumn("mccmnc", F.when(known, operator_code("imsi")).otherwise(F.lit(0)))
+        .withColumn("usage", F.when(counted, F.col("usage")))
+        .groupBy("source", "mccmnc")
+        .agg(
+            F.count("usage").alias("records"),
+            *[F.coalesce(c, zero).alias(n) for n, c in zip(TOTAL_COUNTERS[1:], total_sums()[1:])],
+            F.count_if(F.col("reject_reason").isNotNull()).alias("rejected"),
+            F.max(F.when(counted, F.col("sequence"))).alias("seq"),
+        )
+    )
+
+
+def summary_tables(summary: DataFrame) -> dict[str, DataFrame]:
+    """Totals, operators, progress and accounts of a batch from its summary."""
+    names = {"voice_out": "moc_dur", "voice_in": "mtc_dur", "sms_out": "sms_mo_cnt",
+             "sms_in": "sms_mt_cnt"}
+    return {
+        "totals": merge_totals(summary.select(*TOTAL_COUNTERS)),
+        "operators": summary.filter("mccmnc != 0")
+        .groupBy("mccmnc")
+        .agg(*[F.sum(c).alias(n) for n, c in names.items()]),
+        "progress": summary.filter((F.col("source") != "") & (F.col("seq") > 0))
+        .groupBy("source")
+        .agg(F.max("seq").alias("seq")),
+        "accounts": summary.groupBy("source").agg(
+            F.sum("records").alias("parsed"), F.sum("rejected").alias("rejected")
+        ),
+    }
+
+
 def subscriber_sums(records: DataFrame) -> DataFrame:
     """Counters per subscriber, subscribers without any counter still in. Merge-ready."""
     return (

@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringledger.functions.columns import id_text, renamed
-from ringledger.functions.workspace import small_side
+from ringledger.functions.workspace import cut, small_side
 from ringledger.schema import LINK_REPORT, OPERATOR_REPORT, SUBSCRIBER_REPORT, TOTAL_REPORT
 
 
 def found(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``table`` whose key is asked for, each once."""
-    return table.join(small_side(keys.select(*on).distinct()), on)
+    return table.join(small_side(cut(keys.select(*on).distinct(), "keys")), on)
 
 
 def missing(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,17 +57,23 @@ def stream_files(
     return _with_origin(reader.text(path))
 
 
-def stage(lines: DataFrame, record_format: str = "csv", **options) -> DataFrame:
+def stage(
+    lines: DataFrame,
+    record_format: str = "csv",
+    fields: Sequence[str] = RECORD_FIELDS,
+    **options,
+) -> DataFrame:
     """Parse scanned lines once into a columnar table that all later steps read.
 
     The text is read a single time: header check, accounting, rejects and every fold work on
-    the columns they need of this table. Good rows drop their raw text.
+    the columns they need of this table. Good rows drop their raw text. ``fields`` names the
+    record fields to keep.
     """
     parsed = parse_format(record_format, lines, **options)
     raw = F.when(F.col("reject_reason").isNotNull(), F.col("value")).alias("value")
     return cut(
         parsed.select(
-            "source", "file_path", "file_size", "head_id", *RECORD_FIELDS, raw, "reject_reason"
+            "source", "file_path", "file_size", "head_id", *fields, raw, "reject_reason"
         ),
         "staged",
     )
@@ -75,27 +83,29 @@ def header_status(lines: DataFrame) -> DataFrame:
     """One row per file with lines: format, declared count, and whether the header is good.
 
     Works on scanned lines and on the staged table alike: a header never parses as a record,
-    so its text is kept there. The declared count is not held against the content. A header
-    that is the whole file, with no line end, is not good.
+    so its text is kept there. The first line is found by its number, which aggregates in
+    place, and its text fetched by a join with one row per file. The declared count is not
+    held against the content. A header that is the whole file, with no line end, is not good.
     """
-    first = F.min_by("value", "head_id")
-    return (
-        lines.filter(F.col("head_id").isNotNull())
-        .groupBy("file_path", "source")
-        .agg(
-            first.alias("_first"),
-            F.min("head_id").alias("_header_id"),
-            F.max("file_size").alias("_size"),
-        )
+    heads = lines.filter(F.col("head_id").isNotNull())
+    first = cut(
+        heads.groupBy("file_path", "source").agg(
+            F.min("head_id").alias("_header_id"), F.max("file_size").alias("_size")
+        ),
+        "heads",
+    )
+    text = heads.filter(F.col("value").isNotNull()).select(
+        "file_path", F.col("head_id").alias("_header_id"), F.col("value").alias("_first")
+    )
+    good = F.col("_first").rlike(HEADER_PATTERN) & (F.octet_length("_first") < F.col("_size"))
+    status = (
+        text.join(small_side(first), ["file_path", "_header_id"])
+        .join(first, ["file_path", "source", "_header_id", "_size"], "right")
         .select(
             "file_path",
             "source",
             "_header_id",
-            F.coalesce(
-                F.col("_first").rlike(HEADER_PATTERN)
-                & (F.octet_length("_first") < F.col("_size")),
-                F.lit(False),
-            ).alias("ok"),
+            F.coalesce(good, F.lit(False)).alias("ok"),
             F.nullif(F.regexp_extract("_first", HEADER_PATTERN, 1), F.lit("")).alias("format"),
             F.expr(
                 "try_cast(nullif(regexp_extract(_first, r'%s', 2), '') AS DECIMAL(20,0))"
@@ -103,6 +113,7 @@ def header_status(lines: DataFrame) -> DataFrame:
             ).alias("declared_count"),
         )
     )
+    return cut(status, "headers")
 
 
 def empty_files(spark: SparkSession, path: str | list[str], status: DataFrame) -> DataFrame:
@@ -195,7 +206,7 @@ def resume_filter(records: DataFrame, progress: DataFrame) -> DataFrame:
     Only marks of sources that are in hand take part. The mark table is counted and broadcast
     when small; otherwise a shuffled join does it, which AQE splits where one source is hot.
     """
-    marks = small_side(progress.select("source", F.col("seq").alias("mark")))
+    marks = small_side(cut(progress.select("source", F.col("seq").alias("mark")), "marks"))
     return (
         records.join(marks, "source", "left")
         .filter(F.col("sequence") > F.coalesce("mark", F.lit(0).cast("decimal(20,0)")))

@@ -22,13 +22,25 @@ from ringledger.sources import files
 from ringledger.sources.lines import parse_format, records_of, rejects_of
 
 
-def _counted(records: DataFrame, run_id: str) -> dict[str, DataFrame]:
-    """The counter deltas of a batch."""
-    return {
+#: Record fields that any table of a store is made of.
+_FIELDS = (
+    "sequence", "imsi", "usage", "msisdn", "duration", "bytes_rx", "bytes_tx", "peer_msisdn",
+)
+
+
+def _tables(rows: DataFrame, run_id: str) -> dict[str, DataFrame]:
+    """All deltas of a batch from its parsed rows, ``counted`` where a record counts.
+
+    The rows are read three times, each time only the columns needed: for subscribers, for
+    links, and for all that is small.
+    """
+    records = rows.filter("counted")
+    small = counters.summary_tables(cut(counters.batch_summary(rows), "summary"))
+    small["totals"] = small["totals"].withColumn("run_id", F.lit(run_id))
+    return small | {
         "subscribers": counters.subscriber_usage(records),
-        "operators": counters.operator_traffic(records),
         "links": counters.contact_links(records).sortWithinPartitions("owner", "peer"),
-        "totals": counters.totals(records).withColumn("run_id", F.lit(run_id)),
+        "rejects": rejects_of(rows),
     }
 
 
@@ -43,28 +55,19 @@ def fold_files(
 ) -> None:
     """Fold scanned files as one batch: counters, marks, accounting and rejects together.
 
-    The text is read and parsed once into a staged table. Of it, each counter reads its own
-    columns. A file delivered again continues above the mark of its name.
+    The text is read and parsed once into a staged table. A file delivered again continues
+    above the mark of its name.
     """
     if store.is_published(stream_id, batch_id):
         return
     with scratch(store.spark):
-        staged = files.stage(lines, record_format, **options)
+        staged = files.stage(lines, record_format, _FIELDS, **options)
         status = cut(files.with_marks(files.header_status(staged), store.progress()), "files")
-        rows = files.admitted(staged, status)
-        records = files.new_records(rows)
-        store.publish(
-            _counted(records, run_id)
-            | {
-                "progress": files.progress_marks(records),
-                "accounts": files.accounting(rows),
-                "rejects": rejects_of(rows),
-                "files": status.select("file_path", "source", "ok", "format", "declared_count"),
-            },
-            stream_id,
-            batch_id,
-            run_id,
+        rows = files.admitted(staged, status).withColumn(
+            "counted", F.col("reject_reason").isNull() & files.not_applied()
         )
+        listed = status.select("file_path", "source", "ok", "format", "declared_count")
+        store.publish(_tables(rows, run_id) | {"files": listed}, stream_id, batch_id, run_id)
 
 
 def fold_bodies(
@@ -79,24 +82,17 @@ def fold_bodies(
     """Fold messages of one record line each. They have no header, no source and no mark."""
     if store.is_published(stream_id, batch_id):
         return
+    parsed = parse_format(record_format, bodies.select("value"), **options)
     good = F.col("reject_reason").isNull()
     with scratch(store.spark):
-        parsed = cut(
-            parse_format(record_format, bodies.select("value"), **options).withColumn(
-                "source", F.lit("")
+        rows = cut(
+            parsed.select(
+                F.lit("").alias("source"), good.alias("counted"), *_FIELDS,
+                F.when(~good, F.col("value")).alias("value"), "reject_reason",
             ),
             "staged",
         )
-        accounts = parsed.groupBy("source").agg(
-            F.count_if(good).alias("parsed"), F.count_if(~good).alias("rejected")
-        )
-        store.publish(
-            _counted(records_of(parsed), run_id)
-            | {"accounts": accounts, "rejects": rejects_of(parsed)},
-            stream_id,
-            batch_id,
-            run_id,
-        )
+        store.publish(_tables(rows, run_id), stream_id, batch_id, run_id)
 
 
 def ingest_files(

@@ -214,8 +214,9 @@ def test_overflowing_counter_fails_the_batch(spark, store, tmp_path):
 
 
 def test_work_dir_comes_from_the_session(spark):
-    named = spark.conf.get("spark.checkpoint.dir")
-    assert workspace.fresh_path(spark, "x").startswith(named)
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    path = workspace.fresh_path(spark, "x")
+    assert path.startswith(named) if named else path.startswith(workspace.work_dir(spark))
 
 
 def test_broadcast_only_after_counting(spark):
@@ -229,12 +230,11 @@ def test_broadcast_only_after_counting(spark):
     assert hinted(workspace.small_side(few, 10)) and not hinted(workspace.small_side(many, 10))
 
 
-def test_scratch_tables_go_after_the_batch(spark, store, tmp_path):
-    import os
-
-    shared = spark.conf.get("spark.checkpoint.dir")
-    before = set(os.listdir(shared))
+def test_scratch_tables_go_after_the_batch(spark, store, tmp_path, monkeypatch):
+    shared = tmp_path / "shared"
+    monkeypatch.setattr(workspace, "work_dir", lambda spark: str(shared))
+    shared.mkdir()
     ingest.ingest_files(spark, write(tmp_path / "in", "a.cdr", [1, 2]), store)
     store.compact(0)
-    assert set(os.listdir(shared)) == before
+    assert list(shared.iterdir()) == []
     assert store.totals().first().records == 2
