@@ -25,7 +25,10 @@ from ringledger.functions.ranking import top_per_group
 from ringledger.functions.workspace import cut, fresh_path, small_side
 from ringledger.schema import MAX_HOPS, MAX_VISITED
 
+#: What is known of an undecided pair: the depth reached and the frontier width of each side,
+#: and how many ids were discovered.
 _STATE = ("src", "dst", "depth_a", "depth_b", "width_a", "width_b", "visited")
+_TURN = ("on_a", "root", "depth", "far", "far_depth")
 
 
 def _searchable(links: DataFrame, max_visited: int) -> DataFrame:
@@ -47,17 +50,10 @@ def _searchable(links: DataFrame, max_visited: int) -> DataFrame:
 def _expand(fronts: DataFrame, turn: DataFrame, edges: DataFrame, max_visited: int) -> DataFrame:
     """The next level of every (root, depth) whose turn it is and that has none yet: ids not
     reached before, by least route."""
-    wanted = (
-        turn.select("root", "depth")
-        .distinct()
-        .join(
-            fronts.select("root", (F.col("depth") - 1).alias("depth")),
-            ["root", "depth"],
-            "left_anti",
-        )
-    )
+    beyond = fronts.select("root", (F.col("depth") - 1).alias("depth"))
     reached = (
-        fronts.join(wanted, ["root", "depth"])
+        fronts.join(turn.select("root", "depth"), ["root", "depth"], "left_semi")
+        .join(beyond, ["root", "depth"], "left_anti")
         .join(edges, F.col("node") == F.col("owner"))
         .select(
             "root",
@@ -74,8 +70,66 @@ def _expand(fronts: DataFrame, turn: DataFrame, edges: DataFrame, max_visited: i
     ).select("root", "depth", "node", "route", "place")
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
+def _after(fronts: DataFrame, turn: DataFrame, max_visited: int) -> DataFrame:
+    """Each pair after its turn: the width of the new level, and the place in it of the first
+    id the other side has reached. ``found`` stays NULL while the pair is undecided.
+
+    Two sides that have not met are disjoint, so they can only meet in the far side's last
+    level.
+    """
+    near = fronts.select("root", (F.col("depth") - 1).alias("depth"), "node", "place")
+    other = fronts.select(
+        F.col("root").alias("far"), F.col("depth").alias("far_depth"), "node",
+        F.lit(True).alias("both"),
+    )
+    level = (
+        turn.join(near, ["root", "depth"], "left")
+        .join(other, ["far", "far_depth", "node"], "left")
+        .groupBy(*_STATE, *_TURN)
+        .agg(
+            F.count("place").cast("int").alias("width"),
+            F.min(F.when(F.col("both"), F.col("place"))).alias("met_at"),
+        )
+    )
+    on_a, met = F.col("on_a"), F.col("met_at").isNotNull()
+    # Discoveries up to and including the meeting id count against the bound.
+    visited = F.col("visited") + F.coalesce("met_at", "width")
+    within = visited <= max_visited
+    return level.select(
+        "src",
+        "dst",
+        (F.col("depth_a") + on_a.cast("int")).alias("depth_a"),
+        (F.col("depth_b") + (~on_a).cast("int")).alias("depth_b"),
+        F.when(on_a, F.col("width")).otherwise(F.col("width_a")).alias("width_a"),
+        F.when(on_a, F.col("width_b")).otherwise(F.col("width")).alias("width_b"),
+        visited.alias("visited"),
+        *_TURN,
+        "met_at",
+        F.when(met & within, True)
+        .when(~met & within & (F.col("width") > 0), None)
+        .otherwise(False)
+        .alias("found"),
+    )
+
+
+def _routes(found: DataFrame, fronts: DataFrame) -> DataFrame:
+    """Whole routes of met pairs: out to the meeting id from one side, back from the other."""
+    near = fronts.select(
+        "root", (F.col("depth") - 1).alias("depth"), F.col("place").alias("met_at"), "node",
+        F.split("route", ",").alias("near_route"),
+    )
+    other = fronts.select(
+        F.col("root").alias("far"), F.col("depth").alias("far_depth"), "node",
+        F.split("route", ",").alias("far_route"),
+    )
+    on_a = F.col("on_a")
+    head = F.when(on_a, F.col("near_route")).otherwise(F.col("far_route"))
+    back = F.reverse(F.when(on_a, F.col("far_route")).otherwise(F.col("near_route")))
+    return (
+        found.join(near, ["root", "depth", "met_at"])
+        .join(other, ["far", "far_depth", "node"])
+        .select("src", "dst", F.concat(head, F.slice(back, F.lit(2), F.size(back))).alias("route"))
+    )
 
 
 def shortest_paths(
@@ -89,31 +143,30 @@ def shortest_paths(
     An id is its own path, seen or not. A pair without a path inside the bounds has
     ``found = false`` and no route.
     """
+    spark = pairs.sparkSession
     pairs = cut(pairs.select("src", "dst").distinct(), "path-pairs")
     edges = _searchable(links, max_visited)
-
-    same = pairs.filter("src = dst").select(
-        "src", "dst", F.array(id_text("src")).alias("route"), F.lit(True).alias("found")
-    )
     state = pairs.filter("src != dst").select(
-        "src", "dst",
-        *[F.lit(n).alias(c) for c, n in zip(_STATE[2:], (0, 0, 1, 1, 0))],
+        "src", "dst", *[F.lit(n).alias(c) for c, n in zip(_STATE[2:], (0, 0, 1, 1, 0))]
     )
-    roots = state.select(F.explode(F.array("src", "dst")).alias("root")).distinct()
+
     # All levels of all roots are one table that grows by one write a round.
-    spark = pairs.sparkSession
     path = fresh_path(spark, "path-fronts")
-    start = roots.select(
-        "root",
-        F.lit(0).alias("depth"),
-        F.col("root").alias("node"),
-        id_text("root").alias("route"),
-        F.lit(1).alias("place"),
+    start = (
+        state.select(F.explode(F.array("src", "dst")).alias("root"))
+        .distinct()
+        .select(
+            "root",
+            F.lit(0).alias("depth"),
+            F.col("root").alias("node"),
+            id_text("root").alias("route"),
+            F.lit(1).alias("place"),
+        )
     )
     start.write.parquet(path)
     fronts = spark.read.schema(start.schema).parquet(path)
-    answers = [same]
 
+    rounds: list[DataFrame] = []
     for _ in range(max_hops):
         on_a = F.col("width_a") <= F.col("width_b")
         turn = state.select(
@@ -125,81 +178,21 @@ def shortest_paths(
             F.when(on_a, F.col("depth_b")).otherwise(F.col("depth_a")).alias("far_depth"),
         )
         _expand(fronts, turn, edges, max_visited).write.mode("append").parquet(path)
-        known = fronts = spark.read.schema(start.schema).parquet(path)
-
-        widths = known.groupBy("root", "depth").agg(F.count("*").cast("int").alias("width"))
-        near = known.select(
-            "root", (F.col("depth") - 1).alias("depth"), "node",
-            F.col("route").alias("near_route"), "place",
-        )
-        other = known.select(
-            F.col("root").alias("far"), F.col("depth").alias("far_depth"), "node",
-            F.col("route").alias("far_route"),
-        )
-        meetings = (
-            turn.select("src", "dst", "root", "depth", "far", "far_depth")
-            .join(near, ["root", "depth"])
-            .join(other, ["far", "far_depth", "node"])
-            .groupBy("src", "dst")
-            .agg(F.min(F.struct("place", "near_route", "far_route")).alias("meeting"))
-        )
-        after = (
-            turn.join(
-                widths.withColumn("depth", F.col("depth") - 1), ["root", "depth"], "left"
-            )
-            .join(meetings, ["src", "dst"], "left")
-            .withColumn("width", F.coalesce("width", F.lit(0)))
-        )
-        met = F.col("meeting").isNotNull()
-        # Discoveries up to and including the meeting id count against the bound.
-        used = F.col("visited") + F.when(met, F.col("meeting.place")).otherwise(F.col("width"))
-        within = used <= max_visited
-        on_a = F.col("on_a")
-        after = cut(
-            after.select(
-                "src",
-                "dst",
-                (F.col("depth_a") + on_a.cast("int")).alias("depth_a"),
-                (F.col("depth_b") + (~on_a).cast("int")).alias("depth_b"),
-                F.when(on_a, F.col("width")).otherwise(F.col("width_a")).alias("width_a"),
-                F.when(on_a, F.col("width_b")).otherwise(F.col("width")).alias("width_b"),
-                used.cast("int").alias("visited"),
-                F.when(met & within, True).when(~met & within & (F.col("width") > 0), None)
-                .otherwise(False).alias("found"),
-                F.when(on_a, F.col("meeting.near_route"))
-                .otherwise(F.col("meeting.far_route")).alias("head"),
-                F.when(on_a, F.col("meeting.far_route"))
-                .otherwise(F.col("meeting.near_route")).alias("tail"),
-            ),
-            "path-state",
-        )
-        head = F.split("head", ",")
-        back = F.reverse(F.split("tail", ","))
-        answers.append(
-            after.filter(F.col("found").isNotNull()).select(
-                "src",
-                "dst",
-                F.when(F.col("found"), F.concat(head, F.slice(back, F.lit(2), F.size(back))))
-                .alias("route"),
-                "found",
-            )
-        )
-        state = after.filter(F.col("found").isNull()).select(*_STATE)
+        fronts = spark.read.schema(start.schema).parquet(path)
+        rounds.append(cut(_after(fronts, turn, max_visited), "path-state"))
+        state = rounds[-1].filter(F.col("found").isNull()).select(*_STATE)
         if state.isEmpty():
             break
 
-    answers.append(
-        state.select(
-            "src", "dst",
-            F.lit(None).cast("array<string>").alias("route"), F.lit(False).alias("found"),
-        )
-    )
-    return _union(answers).select(
+    met = [done.filter("found") for done in rounds]
+    same = pairs.filter("src = dst").select("src", "dst", F.array(id_text("src")).alias("route"))
+    routes = same if not met else same.unionByName(_routes(reduce(DataFrame.unionByName, met), fronts))
+    return pairs.join(routes, ["src", "dst"], "left").select(
         "src",
         "dst",
-        "found",
-        F.when(F.col("found"), F.size("route") - 1).alias("hops"),
-        F.when(F.col("found"), F.col("route")).alias("route"),
+        F.col("route").isNotNull().alias("found"),
+        F.when(F.col("route").isNotNull(), F.size("route") - 1).alias("hops"),
+        "route",
     )
 
 
