@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 #: A side is broadcast only after it was counted and found to hold at most this many rows.
 BROADCAST_ROWS = 100_000
 
+#: Up to this many keys are named in a filter, which reaches the scan and skips row groups.
+NAMED_KEYS = 1_000
+
 _local_dirs: dict[str, str] = {}
 _scratch = threading.local()
 
@@ -84,3 +87,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     Beyond the bound the join shuffles both sides and AQE splits skewed partitions.
     """
     return F.broadcast(df) if fits_broadcast(df, rows) else df
+
+
+def only(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``table`` whose ``column`` is among ``keys``.
+
+    A few keys become a filter: it passes through the sums of a view down to the files, where
+    row groups without these keys are skipped. More keys are a semi join, broadcast when
+    small enough.
+    """
+    held = cut(keys.select(column).distinct(), "keys")
+    named = held.limit(NAMED_KEYS + 1).collect()
+    if len(named) <= NAMED_KEYS:
+        return table.filter(F.col(column).isin([row[0] for row in named]))
+    return table.join(small_side(held), column, "left_semi")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ringledger.functions.columns import id_text, ratio
 from ringledger.functions.ranking import page_bounds, ranked, top_per_group
-from ringledger.functions.workspace import cut, small_side
+from ringledger.functions.workspace import cut, only, small_side
 from ringledger.operators.boards import board_page
 from ringledger.schema import PEER_LIMIT, PEER_LIMIT_MAX
 
@@ -46,8 +46,7 @@ def peer_page(
     offset, limit = page_bounds(offset, limit, PEER_LIMIT, PEER_LIMIT_MAX)
     order = peer_order(sort)
     if owners is not None:
-        asked = small_side(cut(owners.select("owner").distinct(), "owners"))
-        links = links.join(asked, "owner", "left_semi")
+        links = only(links, owners, "owner")
     if limit == 0:
         rows = ranked(links, ["owner"], order)
     else:
@@ -98,7 +97,7 @@ def suggestions(entries: DataFrame, links: DataFrame, k: int, sort: str = "dur")
     """The first ``k`` of a board, each with its heaviest peer. An entry in no link has none."""
     page = small_side(cut(board_page(entries, 0, k), "page"))
     wanted = page.select(F.col("id").cast("bigint").alias("owner"))
-    first = heaviest_peers(links.join(wanted, "owner", "left_semi"), 1, sort).select(
+    first = heaviest_peers(only(links, wanted, "owner"), 1, sort).select(
         id_text("owner").alias("id"), id_text("peer").alias("peer")
     )
     return page.join(first, "id", "left").select("position", "id", "score", "peer")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringledger.functions.columns import id_text
-from ringledger.functions.workspace import cut, small_side
+from ringledger.functions.workspace import cut, only, small_side
 from ringledger.operators.contacts import heaviest_peers, peer_counts
 from ringledger.schema import EXPAND_LIMIT, MAX_NODES
 
@@ -51,8 +51,7 @@ def ego_network(
     peers left off because the graph was full.
     """
     picks = cut(picks.select("seed", "step", "id"), "ego-picks")
-    owners = small_side(picks.select(F.col("id").alias("owner")).distinct())
-    asked = links.join(owners, "owner", "left_semi")
+    asked = only(links, picks.select(F.col("id").alias("owner")), "owner")
     top = heaviest_peers(asked, limit, sort)
     shown = top.groupBy("owner").agg(F.count("*").alias("shown"))
     answers = cut(

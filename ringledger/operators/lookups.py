@@ -1,7 +1,7 @@
 """Answers for given keys: found rows under report names, and the keys without an answer.
 
-Keys come as a DataFrame, so one request or a million are one join. A small key set is counted
-and broadcast; a large one shuffles, and AQE splits what is skewed.
+Keys come as a DataFrame, so one request or a million are one query. A few keys reach the scan
+as a filter, more are broadcast, and beyond that both sides shuffle and AQE splits what is skewed.
 """
 
 from __future__ import annotations
@@ -10,13 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ringledger.functions.columns import id_text, renamed
-from ringledger.functions.workspace import cut, small_side
+from ringledger.functions.workspace import cut, only, small_side
 from ringledger.schema import LINK_REPORT, OPERATOR_REPORT, SUBSCRIBER_REPORT, TOTAL_REPORT
 
 
 def found(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Rows of ``table`` whose key is asked for, each once."""
-    return table.join(small_side(cut(keys.select(*on).distinct(), "keys")), on)
+    rows = only(table, keys, on[0])
+    if len(on) == 1:
+        return rows
+    return rows.join(small_side(cut(keys.select(*on).distinct(), "keys")), on, "left_semi")
 
 
 def missing(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:

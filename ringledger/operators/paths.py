@@ -22,39 +22,57 @@ from pyspark.sql import functions as F
 
 from ringledger.functions.columns import id_text
 from ringledger.functions.ranking import top_per_group
-from ringledger.functions.workspace import cut, fresh_path, small_side
+from ringledger.functions.workspace import cut, fresh_path, only, small_side
 from ringledger.schema import MAX_HOPS, MAX_VISITED
 
+#: Up to this many pairs each round looks up the links of its frontier only, which a table
+#: ordered by owner answers from few row groups; for more pairs all edges are laid out once.
+FEW_PAIRS = 20
+
 #: What is known of an undecided pair: the depth reached and the frontier width of each side,
 #: and how many ids were discovered.
 _STATE = ("src", "dst", "depth_a", "depth_b", "width_a", "width_b", "visited")
 _TURN = ("on_a", "root", "depth", "far", "far_depth")
 
 
-def _searchable(links: DataFrame, max_visited: int) -> DataFrame:
-    """Edges a search can use, see the module text, as a table of two columns."""
+def _trimmed(edges: DataFrame, max_visited: int) -> DataFrame:
+    """The peers of each owner that a search can use, see the module text."""
+    return top_per_group(
+        edges, ["owner"], [id_text("peer").asc()], 2 * max_visited + 2
+    ).drop("position")
+
+
+def _all_edges(links: DataFrame, max_visited: int) -> DataFrame:
+    """All edges a search can use, as a table of two columns. Only owners with more peers
+    than the bound are ordered."""
     edges = cut(links.select("owner", "peer").filter("owner != peer"), "path-edges")
-    keep = 2 * max_visited + 2
-    heavy = edges.groupBy("owner").count().filter(F.col("count") > keep).select("owner")
+    heavy = (
+        edges.groupBy("owner").count().filter(F.col("count") > 2 * max_visited + 2).select("owner")
+    )
     if heavy.isEmpty():
         return edges
     heavy = small_side(cut(heavy, "path-heavy"))
-    first = top_per_group(
-        edges.join(heavy, "owner", "left_semi"), ["owner"], [id_text("peer").asc()], keep
-    )
-    return cut(
-        edges.join(heavy, "owner", "left_anti").unionByName(first.drop("position")), "path-edges"
-    )
+    light = edges.join(heavy, "owner", "left_anti")
+    trimmed = _trimmed(edges.join(heavy, "owner", "left_semi"), max_visited)
+    return cut(light.unionByName(trimmed), "path-edges")
 
 
-def _expand(fronts: DataFrame, turn: DataFrame, edges: DataFrame, max_visited: int) -> DataFrame:
+def _edges_of(links: DataFrame, nodes: DataFrame, max_visited: int) -> DataFrame:
+    """The edges of the given nodes alone, looked up in ``links``."""
+    edges = only(links.select("owner", "peer").filter("owner != peer"), nodes, "owner")
+    return _trimmed(edges, max_visited)
+
+
+def _expand(fronts: DataFrame, turn: DataFrame, edges_of, max_visited: int) -> DataFrame:
     """The next level of every (root, depth) whose turn it is and that has none yet: ids not
     reached before, by least route."""
     beyond = fronts.select("root", (F.col("depth") - 1).alias("depth"))
+    widened = fronts.join(turn.select("root", "depth"), ["root", "depth"], "left_semi").join(
+        beyond, ["root", "depth"], "left_anti"
+    )
+    edges = edges_of(widened.select(F.col("node").alias("owner")))
     reached = (
-        fronts.join(turn.select("root", "depth"), ["root", "depth"], "left_semi")
-        .join(beyond, ["root", "depth"], "left_anti")
-        .join(edges, F.col("node") == F.col("owner"))
+        widened.join(edges, F.col("node") == F.col("owner"))
         .select(
             "root",
             (F.col("depth") + 1).alias("depth"),
@@ -145,7 +163,16 @@ def shortest_paths(
     """
     spark = pairs.sparkSession
     pairs = cut(pairs.select("src", "dst").distinct(), "path-pairs")
-    edges = _searchable(links, max_visited)
+    if pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
+
+        def edges_of(nodes: DataFrame) -> DataFrame:
+            return _edges_of(links, nodes, max_visited)
+    else:
+        edges = _all_edges(links, max_visited)
+
+        def edges_of(nodes: DataFrame) -> DataFrame:
+            return edges
+
     state = pairs.filter("src != dst").select(
         "src", "dst", *[F.lit(n).alias(c) for c, n in zip(_STATE[2:], (0, 0, 1, 1, 0))]
     )
@@ -177,7 +204,7 @@ def shortest_paths(
             F.when(on_a, F.col("dst")).otherwise(F.col("src")).alias("far"),
             F.when(on_a, F.col("depth_b")).otherwise(F.col("depth_a")).alias("far_depth"),
         )
-        _expand(fronts, turn, edges, max_visited).write.mode("append").parquet(path)
+        _expand(fronts, turn, edges_of, max_visited).write.mode("append").parquet(path)
         fronts = spark.read.schema(start.schema).parquet(path)
         rounds.append(cut(_after(fronts, turn, max_visited), "path-state"))
         state = rounds[-1].filter(F.col("found").isNull()).select(*_STATE)

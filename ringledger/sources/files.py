@@ -238,7 +238,7 @@ def write_files(lines: DataFrame, path: str, record_format: str = "csv") -> None
         F.spark_partition_id().alias("_task"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
     )
-    counts = F.broadcast(held.groupBy("_task").agg(F.count("*").alias("_n")))
+    counts = small_side(cut(held.groupBy("_task").agg(F.count("*").alias("_n")), "counts"))
     header = F.concat(F.lit(f"CDR|{record_format}|"), F.col("_n").cast("string"))
     held.join(counts, "_task").select(
         F.explode(

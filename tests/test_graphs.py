@@ -111,9 +111,13 @@ def test_longer_than_the_hop_bound(spark):
     assert routes(spark, links, [(1, 4)], max_hops=2)[(1, 4)] is None
 
 
-@pytest.mark.parametrize("seed,cap", [(1, 10_000), (2, 10_000), (3, 6), (4, 3), (5, 12)])
-def test_random_graphs(spark, seed, cap):
-    """Routes, reach and giving up, with ids of different widths and contact with oneself."""
+@pytest.mark.parametrize(
+    "seed,cap,few", [(1, 10_000, 0), (2, 10_000, 999), (3, 6, 0), (4, 3, 999), (5, 12, 999)]
+)
+def test_random_graphs(spark, monkeypatch, seed, cap, few):
+    """Routes, reach and giving up, with ids of different widths and contact with oneself,
+    over edges laid out once and over edges looked up each round."""
+    monkeypatch.setattr(paths, "FEW_PAIRS", few)
     rng = random.Random(seed)
     ids = rng.sample(range(1, 3000), 60)
     edges = {}
@@ -143,12 +147,13 @@ def test_wide_star_gives_up(spark):
     assert got[(100_000, 100_041)] == search(adjacency(edges), "100000", "100041")
 
 
-def test_hub_beyond_the_bound_is_cut_down_exactly(spark):
+def test_hub_beyond_the_bound_is_cut_down_exactly(spark, monkeypatch):
     edges = {(5, 1000 + i): (1, 0, 1) for i in range(300)}
     edges |= {(1000, 1): (1, 0, 1), (1299, 2): (1, 0, 1), (1, 3): (1, 0, 1)}
     links, peers = graph_df(spark, edges), adjacency(edges)
     pairs = [(1, 2), (3, 1299), (5, 1), (5, 2), (1000, 1299), (3, 1000)]
-    for cap in (4, 20, 200):
+    for cap, few in ((4, 0), (20, 0), (20, 99), (200, 0)):
+        monkeypatch.setattr(paths, "FEW_PAIRS", few)
         got = routes(spark, links, pairs, max_visited=cap)
         assert got == {(s, d): search(peers, str(s), str(d), max_visited=cap) for s, d in pairs}
 

@@ -238,3 +238,19 @@ def test_scratch_tables_go_after_the_batch(spark, store, tmp_path, monkeypatch):
     store.compact(0)
     assert list(shared.iterdir()) == []
     assert store.totals().first().records == 2
+
+
+def test_few_keys_reach_the_files(spark, store, tmp_path, monkeypatch):
+    """A lookup filters the scan below the sums; many keys are joined with the same answer."""
+    from ringledger.operators import contacts
+
+    ingest.ingest_files(spark, write(tmp_path / "in", "a.cdr", [1, 2, 3]), store)
+    owners = spark.createDataFrame([(972528409042,)], "owner bigint")
+    page = contacts.peer_page(store.links(), owners, "dur")
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(owner), EqualTo(owner,972528409042)" in plan.replace(
+        "IsNotNull(stream_id), ", ""
+    )
+    monkeypatch.setattr(workspace, "NAMED_KEYS", 0)
+    joined = contacts.peer_page(store.links(), owners, "dur")
+    assert "isin" not in str(joined) and rows(joined) == rows(page) and len(rows(page)) == 1
