@@ -9,7 +9,17 @@ from pyspark.sql import functions as F
 
 from ringledger.functions.columns import as_json
 from ringledger.functions.workspace import cut, fresh_path
-from ringledger.operators import boards, contacts, counters, ego, lookups, paths, series, summary
+from ringledger.operators import (
+    boards,
+    contacts,
+    counters,
+    documents,
+    ego,
+    lookups,
+    paths,
+    series,
+    summary,
+)
 from ringledger.plans.store import Store
 from ringledger.schema import (
     MAX_HOPS,
@@ -216,6 +226,17 @@ def health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.health(_store_keys(spark, sf_dir), MAX_HOPS, MAX_VISITED)
 
 
+@query
+def board_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents.board_document("data", _board(spark, sf_dir, "data"), 2, 10)
+
+
+@query
+def peer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second page of two peers of every owner, empty where there are no more."""
+    return documents.peer_documents(links(spark, sf_dir), None, "dur", 2, 2)
+
+
 # --- sums, ratios, shares ---------------------------------------------------------------------
 
 

@@ -438,6 +438,18 @@ FROM cdr WHERE event_type = 'error'""",
             f"WHERE board = '{name}' AND position <= 20"
         )
 
+    sql["board_document"] = _ALL_BOARDS + """SELECT CAST(to_json({'board': 'data', 'count':
+  (SELECT count(*) FROM placed WHERE board = 'data'), 'offset': 2, 'limit': 10,
+  'entries': list({'id': id, 'score': score} ORDER BY position)}) AS VARCHAR) AS document
+FROM placed WHERE board = 'data' AND position > 2 AND position <= 12"""
+    sql["peer_documents"] = _with(_CDR, _LINKS) + """SELECT CAST(owner AS VARCHAR) AS owner,
+  CAST(to_json({'msisdn': CAST(owner AS VARCHAR), 'count': count(*), 'offset': 2, 'limit': 2,
+    'sort': 'dur', 'peers': coalesce(list({'msisdn': CAST(peer AS VARCHAR), 'duration': dur,
+    'calls': cnt, 'sms': sms} ORDER BY position) FILTER (WHERE position IN (3, 4)), [])})
+  AS VARCHAR) AS document
+FROM (SELECT *, row_number() OVER (PARTITION BY owner
+  ORDER BY dur DESC, sms DESC, CAST(peer AS VARCHAR)) AS position FROM links) GROUP BY owner"""
+
     keys = _with(_CDR, _SUB, _OP, _BOARDS, _LINKS) + """, keys AS (
 SELECT 'subscribers' AS kind, count(*) AS keys FROM sub
 UNION ALL SELECT 'operators', count(*) FROM op

@@ -8,7 +8,7 @@ from helpers import record, records_df
 
 from ringledger.functions.columns import as_json
 from ringledger.functions.ranking import ranked, top_per_group
-from ringledger.operators import boards, contacts, counters, lookups, summary
+from ringledger.operators import boards, contacts, counters, documents, lookups, summary
 from ringledger.schema import LINK_COUNTERS, OPERATOR_COUNTERS, SUBSCRIBER_COUNTERS, TOTAL_COUNTERS
 from pyspark.sql import functions as F
 
@@ -203,3 +203,25 @@ def test_key_inventory(spark):
         "subscribers": 1, "operators": 1, "links": 2, "boards": 2, "totals": 1, "progress": 1
     }
     assert lookups.health(keys, 6, 10000).first()["keys"] == 8
+
+
+def test_documents(spark):
+    entries = voice_board(spark, {1: 30, 2: 20, 3: 10})
+    text = documents.board_document("voice", entries, 1, 1).first().document
+    assert text == (
+        '{"board":"voice","count":3,"offset":1,"limit":1,"entries":[{"id":"2","score":20}]}'
+    )
+    empty = json.loads(documents.board_document("voice", voice_board(spark, {})).first().document)
+    assert empty["count"] == 0 and empty["entries"] == [] and empty["limit"] == 20
+    links = links_df(spark, [(1, 20, 50, 1, 1), (1, 3, 50, 2, 1), (2, 1, 1, 1, 1)])
+    one = spark.createDataFrame([(1,), (9,)], "owner bigint")
+    (row,) = documents.peer_documents(links, one).collect()
+    assert row.document == '{"msisdn":"1","count":2,"offset":0,"limit":100,"peers":["20","3"]}'
+    (row,) = documents.peer_documents(links, one, "dur", 5, 2).collect()
+    assert json.loads(row.document)["peers"] == [] and json.loads(row.document)["count"] == 2
+    with pytest.raises(ValueError):
+        documents.board_document("voice", entries, 0, 0)
+    points = spark.createDataFrame([(2, None), (1, 0.5)], "ts bigint, value double")
+    document = json.loads(documents.series_document(points, "fail-share", "1h", 5000).first()[0])
+    assert (document["seconds"], document["from"], document["to"]) == (3600, 1400, 5000)
+    assert document["points"] == [{"ts": 1, "value": 0.5}, {"ts": 2}]
