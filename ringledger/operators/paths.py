@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,18 +44,26 @@ def _trimmed(edges: DataFrame, max_visited: int) -> DataFrame:
 
 
 def _all_edges(links: DataFrame, max_visited: int) -> DataFrame:
-    """All edges a search can use, as a table of two columns. Only owners with more peers
-    than the bound are ordered."""
+    """All edges a search can use, held in partitions and order of their owner, so that no
+    round shuffles or sorts them again. Only owners with more peers than the bound are cut
+    down, which also bounds what one partition holds of an owner. Lost blocks are read again
+    from the written table.
+    """
     edges = cut(links.select("owner", "peer").filter("owner != peer"), "path-edges")
     heavy = (
         edges.groupBy("owner").count().filter(F.col("count") > 2 * max_visited + 2).select("owner")
     )
-    if heavy.isEmpty():
-        return edges
-    heavy = small_side(cut(heavy, "path-heavy"))
-    light = edges.join(heavy, "owner", "left_anti")
-    trimmed = _trimmed(edges.join(heavy, "owner", "left_semi"), max_visited)
-    return cut(light.unionByName(trimmed), "path-edges")
+    if not heavy.isEmpty():
+        heavy = small_side(cut(heavy, "path-heavy"))
+        light = edges.join(heavy, "owner", "left_anti")
+        trimmed = _trimmed(edges.join(heavy, "owner", "left_semi"), max_visited)
+        edges = cut(light.unionByName(trimmed), "path-edges")
+    partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        edges.repartition(partitions, "owner")
+        .sortWithinPartitions("owner")
+        .persist(StorageLevel.DISK_ONLY)
+    )
 
 
 def _edges_of(links: DataFrame, nodes: DataFrame, max_visited: int) -> DataFrame:
@@ -163,6 +172,7 @@ def shortest_paths(
     """
     spark = pairs.sparkSession
     pairs = cut(pairs.select("src", "dst").distinct(), "path-pairs")
+    edges = None
     if pairs.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS:
 
         def edges_of(nodes: DataFrame) -> DataFrame:
@@ -210,6 +220,8 @@ def shortest_paths(
         state = rounds[-1].filter(F.col("found").isNull()).select(*_STATE)
         if state.isEmpty():
             break
+    if edges is not None:
+        edges.unpersist()
 
     met = [done.filter("found") for done in rounds]
     same = pairs.filter("src = dst").select("src", "dst", F.array(id_text("src")).alias("route"))

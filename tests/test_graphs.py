@@ -158,6 +158,19 @@ def test_hub_beyond_the_bound_is_cut_down_exactly(spark, monkeypatch):
         assert got == {(s, d): search(peers, str(s), str(d), max_visited=cap) for s, d in pairs}
 
 
+def test_edges_are_shuffled_once(spark):
+    """A round joins the held edges without moving them."""
+    edges = paths._all_edges(graph_df(spark, CHAIN), 10)
+    front = spark.createDataFrame([(1,), (2,)], "owner bigint").hint("merge")
+    joined = front.join(edges.hint("merge"), "owner")
+    rows = {(r.owner, r.peer) for r in joined.collect()}
+    assert rows == {(1, 2), (2, 1), (2, 3)}
+    plan = joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    held = plan[plan.index("InMemoryTableScan") - 200 : plan.index("InMemoryTableScan")]
+    assert "Exchange" not in held and "Sort [" not in held
+    edges.unpersist()
+
+
 # --- contact graphs --------------------------------------------------------------------------
 
 
