@@ -254,3 +254,17 @@ def test_few_keys_reach_the_files(spark, store, tmp_path, monkeypatch):
     monkeypatch.setattr(workspace, "NAMED_KEYS", 0)
     joined = contacts.peer_page(store.links(), owners, "dur")
     assert "isin" not in str(joined) and rows(joined) == rows(page) and len(rows(page)) == 1
+
+
+def test_folded_files_are_archived(spark, store, tmp_path):
+    """A committed file moves to the archive when a later batch comes, and counts once."""
+    path, archive = write(tmp_path / "in", "a.cdr", [1, 2]), tmp_path / "archive"
+    write(tmp_path / "in", "skip.tmp", [7, 8, 9])
+    options = {"archive": str(archive), "glob": "*.cdr"}
+    drain(spark, path, store, tmp_path / "ck", **options)
+    for name, sequence in (("b.cdr", 3), ("c.cdr", 4)):
+        write(tmp_path / "in", name, [sequence])
+        drain(spark, path, store, tmp_path / "ck", **options)
+    assert store.totals().first().records == 4
+    assert [p.name for p in archive.rglob("a.cdr")] == ["a.cdr"]
+    assert not (tmp_path / "in" / "a.cdr").exists()
