@@ -6,25 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringledger.llm import bpe, packing, shards
-from ringledger.llm.rows import documents
+from ringledger.llm import bpe, packing, shards, simhash, topk, toxicity
+from ringledger.llm.rows import documents, table
 
 
 def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.balanced(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.every_twentieth(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(documents(spark, sf_dir))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {x.__name__: x for x in (op1_shards, op4_packing, op10_bpe)}
+    return {x.__name__: x for x in (op1_shards, op3_toxicity, op4_packing, op6_topk, op9_simhash, op10_bpe)}
+
+
+TOPK_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) as x from embeddings
+  where vec_id is not null and embedding is not null and len(embedding) > 0
+    and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.x, c.x) as bigint) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.x) = len(c.x) where q.vec_id % 20 = 0
+)
+select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) as rank, vec_id, score
+from s qualify rank <= 20
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_topk": TOPK_SQL}

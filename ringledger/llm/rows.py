@@ -5,10 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+import ringledger.llm
+
+# Tasks carry this package's functions with them: executors need no copy of it.
+cloudpickle.register_pickle_by_value(ringledger.llm)
+
 #: Text handled at once inside a task.
 CHUNK_BYTES = 4 << 20
 
@@ -42,8 +48,12 @@ def map_arrow(df: DataFrame, build: Callable[[], Callable[[Iterator[pa.RecordBat
     return df.mapInArrow(task, schema)
 
 
-def documents(spark, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents")
 
 
 def texts(docs: DataFrame) -> DataFrame:
