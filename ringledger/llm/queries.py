@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringledger.llm import bpe, packing, shards, simhash, topk, toxicity
+from ringledger.llm import bpe, licenses, packing, quality, shards, simhash, topk, toxicity
 from ringledger.llm.rows import documents, table
 
 
@@ -14,6 +14,10 @@ def op1_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.balanced(documents(spark, sf_dir))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(documents(spark, sf_dir))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
@@ -26,6 +30,10 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every_twentieth(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
@@ -35,7 +43,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {x.__name__: x for x in (op1_shards, op3_toxicity, op4_packing, op6_topk, op9_simhash, op10_bpe)}
+    return {x.__name__: x for x in (op1_shards, op2_licenses, op3_toxicity, op4_packing, op6_topk, op7_quality, op9_simhash, op10_bpe)}
 
 
 TOPK_SQL = """
@@ -53,4 +61,4 @@ from s qualify rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_topk": TOPK_SQL}
+    return {"op2_licenses": licenses.digest_sql(), "op6_topk": TOPK_SQL}
