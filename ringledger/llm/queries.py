@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringledger.llm import bpe, licenses, packing, quality, shards, simhash, topk, toxicity
+from ringledger.llm import bpe, licenses, packing, quality, shards, simhash, spotsigs, topk, toxicity
 from ringledger.llm.rows import documents, table
 
 
@@ -34,6 +34,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
 
 
+def op8_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spotsigs.digest(documents(spark, sf_dir))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(documents(spark, sf_dir))
 
@@ -43,7 +47,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {x.__name__: x for x in (op1_shards, op2_licenses, op3_toxicity, op4_packing, op6_topk, op7_quality, op9_simhash, op10_bpe)}
+    return {x.__name__: x for x in (op1_shards, op2_licenses, op3_toxicity, op4_packing, op6_topk, op7_quality, op8_spotsigs, op9_simhash, op10_bpe)}
 
 
 TOPK_SQL = """
