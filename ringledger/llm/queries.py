@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringledger.llm import bpe, licenses, packing, quality, shards, simhash, spotsigs, topk, toxicity
+from ringledger.llm import bpe, licenses, packing, pii, quality, shards, simhash, spotsigs, topk, toxicity
 from ringledger.llm.rows import documents, table
 
 
@@ -26,6 +26,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(documents(spark, sf_dir))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(documents(spark, sf_dir))
+
+
 def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.every_twentieth(table(spark, sf_dir, "embeddings")).select("query_id", "rank", "vec_id", "score")
 
@@ -47,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {x.__name__: x for x in (op1_shards, op2_licenses, op3_toxicity, op4_packing, op6_topk, op7_quality, op8_spotsigs, op9_simhash, op10_bpe)}
+    return {x.__name__: x for x in (op1_shards, op2_licenses, op3_toxicity, op4_packing, op5_pii, op6_topk, op7_quality, op8_spotsigs, op9_simhash, op10_bpe)}
 
 
 TOPK_SQL = """

@@ -9,12 +9,11 @@ are pruned before their sets are met. Everything is columns of one row.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringledger.llm.rows import texts
+from ringledger.llm.rows import once, texts
 
 #: Content words of a chain, and how many words after the anchor it may end.
 CHAIN, REACH = 2, 10
@@ -36,11 +35,6 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
-def once(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use(value)`` with ``value`` worked out a single time, however often it is used."""
-    return F.transform(F.array(value), use)[0]
-
-
 def signatures(found: Column, whole: Column) -> Column:
     """The sorted set of a text's signatures as longs, from its words.
 
