@@ -40,7 +40,7 @@ SENTENCES = {
     "lgpl3.ref": ("licensed under the gnu lesser general public license version 3", "this work is licensed under the gnu lesser general public license version 3", "spdx license identifier lgpl 3.0 only"),
     "lgpl2.ref": ("licensed under the gnu lesser general public license version 2.1", "this work is licensed under the gnu lesser general public license version 2.1", "spdx license identifier lgpl 2.1 only"),
     "agpl3.ref": ("licensed under the gnu affero general public license version 3", "this work is licensed under the gnu affero general public license version 3", "spdx license identifier agpl 3.0 only"),
-    "mpl2.ref": ("this source code form is subject to the terms of the mozilla public license v. 2.0", "licensed under the mozilla public license version 2.0", "spdx license identifier mpl 2.0"),
+    "mpl2.ref": ("this source code form is subject to the terms of the mozilla public license v", "licensed under the mozilla public license version 2.0", "spdx license identifier mpl 2.0"),
     "isc.ref": ("licensed under the isc license", "released under the isc license", "spdx license identifier isc"),
     "unlicense.ref": ("this is free and unencumbered software released into the public domain",),
     "cc0.ref": ("licensed under cc0 1.0", "this work is dedicated to the public domain", "to the extent possible under law the author has waived all copyright and related rights to this work"),

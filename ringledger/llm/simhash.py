@@ -114,7 +114,7 @@ def stars(values: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray
 
 def block_masks(bits: int = BITS, free: int = FREE) -> list[int]:
     """Masks of the bits that may be taken as equal: enough blocks that all but ``bits`` of them leave ``free`` bits."""
-    blocks = max(bits + 1, -(-64 * bits // free)) if bits else 1
+    blocks = next(n for n in range(bits + 1, 65) if not bits or -(-64 // n) * bits <= free)
     edges = [64 * k // blocks for k in range(blocks + 1)]
     parts = [(1 << edges[k + 1]) - (1 << edges[k]) for k in range(blocks)]
     return [sum(chosen) for chosen in itertools.combinations(parts, blocks - bits)]
