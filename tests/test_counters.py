@@ -27,7 +27,7 @@ def test_each_usage_counts_in_its_own_counter(spark):
     ]
     row = usage(spark, *rows)[SUB]
     assert [row[c] for c in SUBSCRIBER_COUNTERS] == [10, 20, 7, 8, 1, 1, 1, 1, 1]
-    operator = traffic(spark, *rows)[42502]
+    operator = traffic(spark, *rows)[25501]
     assert tuple(operator)[1:] == (10, 20, 1, 1)
     total = counters.totals(records_df(spark, rows)).first()
     assert [total[c] for c in TOTAL_COUNTERS] == [8, 1, 1, 1, 1, 1, 1, 1, 1, 10, 20, 5, 7, 8]
@@ -46,7 +46,7 @@ def test_operator_is_integer_division_of_own_imsi(spark):
         record(imsi=9_999_999_999, duration=4), record(imsi=1010000000001, duration=8),
     ]
     assert {k: v.voice_out for k, v in traffic(spark, *rows).items()} == {
-        42502: 1, 26204: 2, 101: 8
+        25501: 1, 26002: 2, 101: 8
     }
 
 

@@ -2,7 +2,7 @@ from datetime import datetime
 from decimal import Decimal
 
 import pytest
-from helpers import DATA, VOICE, lines_df, with_field
+from helpers import DATA, DATA_FIELDS, IMSI, OTHER_IMSI, PEER, SUB, VOICE, VOICE_FIELDS, line, lines_df
 from pyspark.sql import functions as F
 
 from ringledger.sources import lines
@@ -17,77 +17,57 @@ def reasons(spark, rows, **options):
 def test_good_lines(spark):
     parsed = lines.records_of(lines.parse_lines(lines_df(spark, [VOICE, DATA])))
     voice, data = sorted(parsed.collect(), key=lambda r: r.sequence)
-    assert voice.sequence == Decimal(2519) and voice.imsi == 425020528409010
-    assert voice.imei == "35-209900-176148-1" and voice.usage == "MOC"
-    assert voice.msisdn == 972528409042 and voice.duration == 3314
-    assert voice.call_time == datetime(2026, 7, 12, 9, 57, 9)
-    assert (voice.bytes_rx, voice.bytes_tx) == (0, 0)
-    assert (voice.peer_imsi, voice.peer_msisdn) == (262040162782277, 496221540)
-    assert (data.bytes_rx, data.bytes_tx) == (8215, 9273)
-    assert (data.peer_imsi, data.peer_msisdn) == (0, 0)
-
+    for row, fields in ((voice, VOICE_FIELDS), (data, DATA_FIELDS)):
+        for name in ("sequence", "imsi", "imei", "usage", "msisdn", "duration"):
+            assert getattr(row, name) == fields[name]
+        for name in ("bytes_rx", "bytes_tx", "peer_imsi", "peer_msisdn"):
+            assert getattr(row, name) == (fields[name] or 0)
+    assert voice.call_time == datetime(2025, 5, 3, 21, 4, 56)
+    assert (voice.peer_imsi, voice.peer_msisdn) == (OTHER_IMSI, PEER)
+
+
+#: What a field of digits refuses, made from a good value: letters, signs, spaces, fractions.
+def not_digits(value):
+    return [f"{value}z", f"z{value}", f"+{value}", f"-{value}", f" {value}", f"{value} ", f"{value}.0", f"{value}e1"]
+
+
+DIGITS = {
+    "sequence": 71, "imsi": IMSI, "msisdn": SUB, "duration": 615, "bytes_rx": 5005, "bytes_tx": 707,
+    "peer_imsi": OTHER_IMSI, "peer_msisdn": PEER,
+}
+#: Fields that an empty text is not good enough for, and fields of at most 15 digits.
+MANDATORY, SHORT = ("sequence", "imsi", "msisdn", "duration"), ("imsi", "msisdn", "peer_imsi", "peer_msisdn")
+COUNTED = ("duration", "bytes_rx", "bytes_tx")
+#: Day, month, hour, minute and second outside their ranges, and other layouts of a date or a time.
+BAD_DATES = ["00/05/2025", "32/05/2025", "03/00/2025", "03/13/2025", "3/05/2025", "03/5/2025", "03/05/25", "2025-05-03", "03.05.2025", "03/05", ""]
+BAD_TIMES = ["24:00:00", "21:60:00", "21:04:60", "1:04:56", "21:4:56", "21:04:5", "21.04.56", "21:04", "210456", ""]
+BAD_USAGES = ["", "moc", "MO", "MOCX", "SMS", "SMSMO", "0", " D"]
 
 REJECTED = [
-    (with_field(0, "abc"), "bad_sequence"),
-    (with_field(0, ""), "bad_sequence"),
-    (with_field(0, "18446744073709551616"), "bad_sequence"),
-    (with_field(0, "+1"), "bad_sequence"),
-    (with_field(0, " 1"), "bad_sequence"),
-    (with_field(1, ""), "bad_imsi"),
-    (with_field(1, "42502052840901X"), "bad_imsi"),
-    (with_field(1, "4250205284090100"), "bad_imsi"),
-    (with_field(3, "Q"), "bad_usage"),
-    (with_field(3, "moc"), "bad_usage"),
-    (with_field(3, ""), "bad_usage"),
-    (with_field(4, ""), "bad_msisdn"),
-    (with_field(4, "+972528409042"), "bad_msisdn"),
-    (with_field(4, "9725284090421234"), "bad_msisdn"),
-    (with_field(5, ""), "bad_time"),
-    (with_field(5, "2026/07/12"), "bad_time"),
-    (with_field(5, "12-07-2026"), "bad_time"),
-    (with_field(5, "12/07/26"), "bad_time"),
-    (with_field(5, "32/07/2026"), "bad_time"),
-    (with_field(5, "12/13/2026"), "bad_time"),
-    (with_field(5, "00/07/2026"), "bad_time"),
-    (with_field(6, ""), "bad_time"),
-    (with_field(6, "09:57"), "bad_time"),
-    (with_field(6, "9:57:09"), "bad_time"),
-    (with_field(6, "24:00:00"), "bad_time"),
-    (with_field(6, "09:60:09"), "bad_time"),
-    (with_field(6, "09:57:61"), "bad_time"),
-    (with_field(7, "12.5"), "bad_duration"),
-    (with_field(7, "-1"), "bad_duration"),
-    (with_field(7, ""), "bad_duration"),
-    (with_field(7, "18446744073709551616"), "bad_duration"),
-    (with_field(7, "9223372036854775808"), "counter_overflow"),
-    (with_field(8, "x"), "bad_bytes_rx"),
-    (with_field(9, "1 "), "bad_bytes_tx"),
-    (with_field(9, "18446744073709551615"), "counter_overflow"),
-    (with_field(10, "4250205284090100"), "bad_peer_imsi"),
-    (with_field(11, "9725284090421234"), "bad_peer_msisdn"),
+    *((line(**{name: bad}), f"bad_{name}") for name, good in DIGITS.items() for bad in not_digits(good)),
+    *((line(**{name: ""}), f"bad_{name}") for name in MANDATORY),
+    *((line(**{name: 10**15 + k}), f"bad_{name}") for name in SHORT for k in (0, 7)),
+    *((line(**{name: 2**64}), f"bad_{name}") for name in ("sequence", *COUNTED)),
+    *((line(**{name: n}), "counter_overflow") for name in COUNTED for n in (2**63, 2**64 - 1)),
+    *((line(date=bad), "bad_time") for bad in BAD_DATES),
+    *((line(time=bad), "bad_time") for bad in BAD_TIMES),
+    *((line(usage=bad), "bad_usage") for bad in BAD_USAGES),
     (VOICE + "\r", "bad_peer_msisdn"),
-    ("|".join(VOICE.split("|")[:11]), "field_count"),
-    (VOICE + "|", "field_count"),
-    ("", "field_count"),
-    ("no separators", "field_count"),
-    (VOICE.replace("|", ","), "field_count"),
+    *((cut, "field_count") for cut in (VOICE.rpartition("|")[0], VOICE.partition("|")[2], VOICE + "|", "|" + VOICE, VOICE + "|1", "", "|", "words only", line(separator=";"))),
 ]
 
 ACCEPTED = [
     VOICE,
     DATA,
-    with_field(0, "18446744073709551615"),
-    with_field(0, "000000000000000000000000001"),
-    with_field(1, "425020528409010"),
-    with_field(4, "972528409042123"),
-    with_field(4, "0"),
-    with_field(5, "31/02/2024"),
-    with_field(7, "0"),
-    with_field(7, "9223372036854775807"),
-    with_field(8, "4294967296", DATA),
-    with_field(2, ""),
-    with_field(10, ""),
-    *[with_field(3, code) for code in ("MOC", "MTC", "SMS-MO", "SMS-MT", "D", "U", "B", "X")],
+    *(line(**{name: ""}) for name in ("imei", "bytes_rx", "bytes_tx", "peer_imsi", "peer_msisdn")),
+    *(line(**{name: 0}) for name in DIGITS),
+    *(line(**{name: f"000{good}"}) for name, good in DIGITS.items() if name not in SHORT),
+    *(line(**{name: 10**15 - 1}) for name in SHORT),
+    *(line(**{name: 2**63 - 1}) for name in COUNTED),
+    line(sequence=2**64 - 1),
+    *(line(date=date) for date in ("01/01/2000", "30/02/2024", "31/04/2025")),
+    *(line(time=time) for time in ("00:00:00", "23:59:59")),
+    *(line(usage=code) for code in ("MOC", "MTC", "SMS-MO", "SMS-MT", "D", "U", "B", "X")),
 ]
 
 
@@ -100,18 +80,18 @@ def test_accepted(spark):
 
 
 def test_largest_sequence_is_exact(spark):
-    parsed = lines.parse_lines(lines_df(spark, [with_field(0, "18446744073709551615")]))
+    parsed = lines.parse_lines(lines_df(spark, [line(sequence=2**64 - 1)]))
     assert parsed.first().sequence == Decimal(18446744073709551615)
 
 
 def test_day_past_month_end_rolls_over(spark):
-    parsed = lines.parse_lines(lines_df(spark, [with_field(5, "31/02/2024")]))
-    assert parsed.first().call_time == datetime(2024, 3, 2, 9, 57, 9)
+    parsed = lines.parse_lines(lines_df(spark, [line(date="30/02/2024")]))
+    assert parsed.first().call_time == datetime(2024, 3, 1, 21, 4, 56)
 
 
 def test_bad_fields_count_when_pruned(spark):
     """Validity depends on fields that no counter reads."""
-    bad = [with_field(5, "12/13/2026"), with_field(10, "x"), VOICE]
+    bad = [line(date="03/13/2025"), line(peer_imsi="x"), VOICE]
     records = lines.records_of(lines.parse_lines(lines_df(spark, bad)))
     assert records.select("usage").count() == 1
 
