@@ -13,13 +13,18 @@ from ringledger.functions.workspace import cut
 def top_per_group(
     df: DataFrame, groups: Sequence[str], order: Sequence[Column], k: int, name: str = "position"
 ) -> DataFrame:
-    """The first ``k`` rows of every group with their position.
+    """The first ``k`` rows of every group with their position. No task ever holds a group.
 
-    Spark turns the rank filter into a group limit that runs before the shuffle, so a group
-    sends at most ``k`` rows per input partition, however many it holds.
+    Below Spark's threshold the rank filter becomes a group limit that runs before the shuffle,
+    so a group sends at most ``k`` rows per input partition. From the threshold on Spark plans no
+    such limit; then the rows are positioned by :func:`ranked`, which needs an ``order`` that
+    names each row of a group uniquely.
     """
-    place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-    return df.withColumn(name, place).filter(F.col(name) <= k)
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold"))
+    if k < limit:
+        place = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
+        return df.withColumn(name, place).filter(F.col(name) <= k)
+    return ranked(df, groups, order, name).filter(F.col(name) <= k)
 
 
 def ranked(

@@ -230,17 +230,22 @@ def read_records(
 def write_files(lines: DataFrame, path: str, record_format: str = "csv") -> None:
     """Write lines as record files, each opening with a header that counts its records.
 
-    The lines are written once as a table, so that counting the rows of each task and
-    writing them see the same tasks; nothing is shuffled. The counts have one row per task.
+    The lines are written once as a table, so that counting the rows of each task and writing
+    them see the same tasks; nothing is shuffled or joined. The counts, one number for each
+    task, reach the rows as one scalar, which only the first row of a task looks into. The low
+    33 bits of ``monotonically_increasing_id`` are documented to count the rows of a task.
     """
     held = cut(lines.select("value"), "lines").select(
         "value",
         F.spark_partition_id().alias("_task"),
         F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at"),
     )
-    counts = small_side(cut(held.groupBy("_task").agg(F.count("*").alias("_n")), "counts"))
-    header = F.concat(F.lit(f"CDR|{record_format}|"), F.col("_n").cast("string"))
-    held.join(counts, "_task").select(
+    counts = held.groupBy("_task").agg(F.count("*").alias("_n"))
+    by_task = counts.agg(F.map_from_entries(F.collect_list(F.struct("_task", "_n")))).scalar()
+    header = F.concat(
+        F.lit(f"CDR|{record_format}|"), F.element_at(by_task, F.col("_task")).cast("string")
+    )
+    held.select(
         F.explode(
             F.when(F.col("_at") == 0, F.array(header, F.col("value"))).otherwise(
                 F.array("value")

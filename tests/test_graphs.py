@@ -67,6 +67,8 @@ def routes(spark, links, pairs, **bounds):
     for row in paths.shortest_paths(links, df, **bounds).collect():
         assert row.found == (row.route is not None)
         assert row.hops == (len(row.route) - 1 if row.found else None)
+        assert (row.outcome == paths.FOUND) == row.found
+        assert row.outcome != paths.GAVE_UP or bounds.get("max_visited") is not None
         out[(row.src, row.dst)] = row.route
     return out
 
@@ -112,12 +114,12 @@ def test_longer_than_the_hop_bound(spark):
 
 
 @pytest.mark.parametrize(
-    "seed,cap,few", [(1, 10_000, 0), (2, 10_000, 999), (3, 6, 0), (4, 3, 999), (5, 12, 999)]
+    "seed,cap,heavy", [(1, None, 100_000), (2, 10_000, 100_000), (3, None, 10), (4, 3, 100_000), (5, 12, 10)]
 )
-def test_random_graphs(spark, monkeypatch, seed, cap, few):
+def test_random_graphs(spark, monkeypatch, seed, cap, heavy):
     """Routes, reach and giving up, with ids of different widths and contact with oneself,
-    over edges laid out once and over edges looked up each round."""
-    monkeypatch.setattr(paths, "FEW_PAIRS", few)
+    with and without owners too heavy for one partition."""
+    monkeypatch.setattr(paths, "HEAVY_OWNER", heavy)
     rng = random.Random(seed)
     ids = rng.sample(range(1, 3000), 60)
     edges = {}
@@ -129,7 +131,7 @@ def test_random_graphs(spark, monkeypatch, seed, cap, few):
     pairs = list({(rng.choice(ids), rng.choice(ids)) for _ in range(120)} | {(hub, ids[50]), (9999, hub)})
     peers = adjacency(edges)
     got = routes(spark, graph_df(spark, edges), pairs, max_visited=cap)
-    expected = {(s, d): search(peers, str(s), str(d), max_visited=cap) for s, d in pairs}
+    expected = {(s, d): search(peers, str(s), str(d), max_visited=cap or 10**9) for s, d in pairs}
     assert got == expected
     assert any(expected.values()) and not all(expected.values())
 
@@ -152,15 +154,16 @@ def test_hub_beyond_the_bound_is_cut_down_exactly(spark, monkeypatch):
     edges |= {(1000, 1): (1, 0, 1), (1299, 2): (1, 0, 1), (1, 3): (1, 0, 1)}
     links, peers = graph_df(spark, edges), adjacency(edges)
     pairs = [(1, 2), (3, 1299), (5, 1), (5, 2), (1000, 1299), (3, 1000)]
-    for cap, few in ((4, 0), (20, 0), (20, 99), (200, 0)):
-        monkeypatch.setattr(paths, "FEW_PAIRS", few)
+    for cap, heavy in ((4, 100_000), (20, 100_000), (200, 50)):
+        monkeypatch.setattr(paths, "HEAVY_OWNER", heavy)
         got = routes(spark, links, pairs, max_visited=cap)
         assert got == {(s, d): search(peers, str(s), str(d), max_visited=cap) for s, d in pairs}
 
 
 def test_edges_are_shuffled_once(spark):
     """A round joins the held edges without moving them."""
-    edges = paths._all_edges(graph_df(spark, CHAIN), 10)
+    edges, apart = paths._all_edges(graph_df(spark, CHAIN), 10)
+    assert apart is None
     front = spark.createDataFrame([(1,), (2,)], "owner bigint").hint("merge")
     joined = front.join(edges.hint("merge"), "owner")
     rows = {(r.owner, r.peer) for r in joined.collect()}
