@@ -60,9 +60,11 @@ def ranked(
     )
 
 
-def page_bounds(offset: int, limit: int, default: int, cap: int) -> tuple[int, int]:
+def page_bounds(
+    offset: int | None, limit: int | None, default: int, cap: int | None = None
+) -> tuple[int, int]:
     """Checked page arguments: negatives are refused, a missing limit is the default, a limit
-    over the cap is the cap. A limit of 0 stays 0 and means everything."""
+    over a cap is the cap. A limit of 0 stays 0 and means everything."""
     if offset is None:
         offset = 0
     if limit is None:
@@ -71,4 +73,4 @@ def page_bounds(offset: int, limit: int, default: int, cap: int) -> tuple[int, i
         raise ValueError("bad offset")
     if limit < 0:
         raise ValueError("bad limit")
-    return offset, min(limit, cap)
+    return offset, limit if cap is None else min(limit, cap)

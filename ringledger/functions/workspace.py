@@ -11,8 +11,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only after it was counted and found to hold at most this many rows.
-BROADCAST_ROWS = 100_000
+#: A side is broadcast only after it was measured and found to hold at most this many bytes.
+BROADCAST_BYTES = 32 << 20
 
 #: Up to this many keys are named in a filter, which reaches the scan and skips row groups.
 NAMED_KEYS = 1_000
@@ -69,24 +69,36 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _scratch.paths:
-            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(conf).delete(at, True)
+        delete_paths(spark, _scratch.paths)
         _scratch.paths = outer
 
 
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
-    """True when ``df`` was counted to hold at most ``rows`` rows."""
-    return df.limit(rows + 1).count() <= rows
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables of this library by path, on whatever file system they are."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when its counted size allows, otherwise unchanged.
+def fits_broadcast(df: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """True when the rows of ``df`` were added up and come to at most ``most`` bytes.
 
-    Beyond the bound the join shuffles both sides and AQE splits skewed partitions.
+    Fixed-width columns count 8 bytes and 8 more for each row; texts count what they hold.
     """
-    return F.broadcast(df) if fits_broadcast(df, rows) else df
+    texts = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    held = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in texts), F.lit(0))
+    size = df.agg(F.coalesce(F.sum(held + 8 * (len(df.columns) + 1)), F.lit(0))).first()[0]
+    return size <= most
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint when its measured size allows, otherwise unchanged.
+
+    Beyond the bound the join shuffles both sides and AQE splits skewed partitions; the rows are
+    the same. ``df`` is read twice, so write it first where that costs.
+    """
+    return F.broadcast(df) if fits_broadcast(df, most) else df
 
 
 def only(table: DataFrame, keys: DataFrame, column: str) -> DataFrame:

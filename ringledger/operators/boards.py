@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ringledger.functions.columns import id_text, plus, ratio
 from ringledger.functions.ranking import page_bounds, ranked
 from ringledger.functions.workspace import cut
-from ringledger.schema import OPERATOR_BOARDS, SUBSCRIBER_BOARDS, TOP_LIMIT, TOP_LIMIT_MAX
+from ringledger.schema import OPERATOR_BOARDS, SUBSCRIBER_BOARDS, TOP_LIMIT
 
 
 def board(name: str, subscribers: DataFrame, operators: DataFrame) -> DataFrame:
@@ -54,7 +54,7 @@ def board_page(
     A limit of 0 is the whole board; then positions come from the split ranking, since no
     task can hold a board.
     """
-    offset, limit = page_bounds(offset, limit, TOP_LIMIT, TOP_LIMIT_MAX)
+    offset, limit = page_bounds(offset, limit, TOP_LIMIT)
     descending = [F.desc(c) for c in _ORDER]
     if limit == 0:
         return board_positions(entries).filter(F.col("position") > offset)

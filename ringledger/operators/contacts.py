@@ -9,7 +9,7 @@ from ringledger.functions.columns import id_text, ratio
 from ringledger.functions.ranking import page_bounds, ranked, top_per_group
 from ringledger.functions.workspace import cut, only, small_side
 from ringledger.operators.boards import board_page
-from ringledger.schema import PEER_LIMIT, PEER_LIMIT_MAX
+from ringledger.schema import PEER_LIMIT
 
 
 def peer_order(sort: str | None) -> list[Column]:
@@ -39,11 +39,11 @@ def peer_page(
 ) -> DataFrame:
     """A page of the peer list of every owner asked for, with position and whole count.
 
-    A page takes at most ``offset + limit`` rows per owner from each input partition, so an
-    owner with a large share of all links costs no more than others. A limit of 0 lists
-    everything with the split ranking.
+    A short page takes at most ``offset + limit`` rows per owner from each input partition, so
+    an owner with a large share of all links costs no more than others. Long pages, and a limit
+    of 0, which lists everything, take the split ranking. No limit is made smaller.
     """
-    offset, limit = page_bounds(offset, limit, PEER_LIMIT, PEER_LIMIT_MAX)
+    offset, limit = page_bounds(offset, limit, PEER_LIMIT)
     order = peer_order(sort)
     if owners is not None:
         links = only(links, owners, "owner")

@@ -9,22 +9,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ringledger.functions.columns import id_text, renamed
-from ringledger.functions.workspace import cut, only, small_side
-from ringledger.schema import LINK_REPORT, OPERATOR_REPORT, SUBSCRIBER_REPORT, TOTAL_REPORT
+from ringledger.functions.columns import id_text, plus, renamed
+from ringledger.functions.workspace import NAMED_KEYS, cut, small_side
+from ringledger.schema import (
+    LINK_REPORT,
+    OPERATOR_BOARDS,
+    OPERATOR_REPORT,
+    SUBSCRIBER_BOARDS,
+    SUBSCRIBER_REPORT,
+    TOTAL_REPORT,
+)
 
 
 def found(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
-    """Rows of ``table`` whose key is asked for, each once."""
-    rows = only(table, keys, on[0])
+    """Rows of ``table`` whose key is asked for, each once: a filter for few keys, else one join
+    on the whole key."""
+    held = cut(keys.select(*on).distinct(), "keys")
+    named = held.limit(NAMED_KEYS + 1).collect()
+    if len(named) > NAMED_KEYS:
+        return table.join(small_side(held), on, "left_semi")
+    # The first part alone lets the scan skip row groups; the pairs are then told apart.
+    first = F.col(on[0]).isin(list({key[0] for key in named}))
     if len(on) == 1:
-        return rows
-    return rows.join(small_side(cut(keys.select(*on).distinct(), "keys")), on, "left_semi")
+        return table.filter(first)
+    return table.filter(first).join(small_side(held), on, "left_semi")
 
 
 def missing(table: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     """Keys asked for that ``table`` does not hold."""
-    return keys.select(*on).distinct().join(table.select(*on).distinct(), on, "left_anti")
+    return keys.select(*on).distinct().join(table.select(*on), on, "left_anti")
 
 
 def subscriber_report(usage: DataFrame, keys: DataFrame) -> DataFrame:
@@ -60,26 +73,36 @@ def store_keys(
     subscribers: DataFrame,
     operators: DataFrame,
     links: DataFrame,
-    boards: DataFrame,
     totals: DataFrame,
     progress: DataFrame,
 ) -> DataFrame:
-    """How many keys each kind of result holds. ``boards`` is (board, id, score). Totals and
-    progress are one key each once they hold anything."""
-
-    def counted(kind: str, df: DataFrame) -> DataFrame:
-        return df.agg(F.count("*").alias("keys")).select(F.lit(kind).alias("kind"), "keys")
+    """How many keys each kind of result holds. Totals and progress are one key each once they
+    hold anything; a board is one once anybody has a score on it. Each table is read once."""
+
+    def counted(kind: str, table: DataFrame, boards: dict[str, tuple[str, ...]]) -> DataFrame:
+        filled = [F.coalesce(F.max(plus(c) > 0), F.lit(False)).cast("bigint") for c in boards.values()]
+        row = table.agg(F.count("*").alias("keys"), sum(filled, F.lit(0)).alias("boards"))
+        return row.select(
+            F.explode(
+                F.array(
+                    F.struct(F.lit(kind).alias("kind"), F.col("keys").alias("keys")),
+                    F.struct(F.lit("boards").alias("kind"), F.col("boards").alias("keys")),
+                )
+            ).alias("x")
+        ).select("x.*")
 
     def any_of(kind: str, df: DataFrame) -> DataFrame:
-        return counted(kind, df.limit(1))
+        return df.limit(1).agg(F.count("*").alias("keys")).select(F.lit(kind).alias("kind"), "keys")
 
+    owners = links.agg(F.countDistinct("owner").alias("keys"))
     return (
-        counted("subscribers", subscribers)
-        .union(counted("operators", operators))
-        .union(counted("links", links.select("owner").distinct()))
-        .union(counted("boards", boards.select("board").distinct()))
+        counted("subscribers", subscribers, SUBSCRIBER_BOARDS)
+        .union(counted("operators", operators, OPERATOR_BOARDS))
+        .union(owners.select(F.lit("links").alias("kind"), "keys"))
         .union(any_of("totals", totals.filter("records > 0")))
         .union(any_of("progress", progress))
+        .groupBy("kind")
+        .agg(F.sum("keys").alias("keys"))
     )
 
 

@@ -210,8 +210,7 @@ def heaviest_peers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _store_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     subscribers, operators = subscriber_usage(spark, sf_dir), operator_traffic(spark, sf_dir)
     return lookups.store_keys(
-        subscribers, operators, links(spark, sf_dir),
-        boards.all_boards(subscribers, operators), totals(spark, sf_dir),
+        subscribers, operators, links(spark, sf_dir), totals(spark, sf_dir),
         files.progress_marks(event_records(spark, sf_dir)),
     )
 
@@ -581,5 +580,5 @@ def ingested_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = Store(spark, fresh_path(spark, "store"))
     for path in _record_files(spark, sf_dir):
         ingest.ingest_files(spark, path, store)
-    store.compact(0)
+    store.compact()
     return store.links()

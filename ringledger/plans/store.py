@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ringledger.functions.columns import present, sums
-from ringledger.functions.workspace import cut, scratch
+from ringledger.functions.workspace import cut, delete_paths, scratch
 from ringledger.operators import series
 from ringledger.operators.boards import all_boards
 from ringledger.operators.counters import merge_totals
@@ -52,8 +52,11 @@ _KINDS = {
     "rejects": "source STRING, line STRING, reject_reason STRING",
     "files": "file_path STRING, source STRING, ok BOOLEAN, format STRING, "
     "declared_count DECIMAL(20,0)",
-    "samples": _schema({"ts": "BIGINT", "taken_at": "BIGINT"}, SAMPLE_COLUMNS),
 }
+_SAMPLES = _schema({"ts": "BIGINT", "taken_at": "BIGINT"}, SAMPLE_COLUMNS)
+_DAY = 86400
+#: Kinds that compaction adds up. Rejects and files are rows, not sums: they stay where they are.
+_COUNTED = ("subscribers", "operators", "links", "totals", "progress", "accounts")
 _MANIFEST = (
     "run_id STRING, replaces ARRAY<STRUCT<stream_id: STRING, batch_id: BIGINT>>, " + _BATCH
 )
@@ -96,19 +99,20 @@ class Store:
             f"{self.root}/manifest/{at}"
         )
 
-    def compact(self, now: int | None = None) -> None:
-        """Fold all live batches into one. The new manifest row retires them in the same write
-        that publishes their sum. Totals stay apart by run; samples past retention go.
+    def compact(self) -> None:
+        """Fold the counters of all live batches into one. The new manifest row retires them in
+        the same write that publishes their sum. Totals stay apart by run. Rejects and file
+        outcomes are not touched, and samples have their own :meth:`sweep_samples`.
 
-        Links are laid out in ranges of owner and peer, so a lookup skips row groups and an
-        owner with many links is spread over several files.
+        Subscribers and links are laid out in ranges of their keys, so a lookup skips row
+        groups and an owner with many links is spread over several files.
         """
         with scratch(self.spark):
             live = cut(self._live(), "live")
-            now = int(time.time()) if now is None else now
-            samples = series.sweep(self._samples(live), now, RETENTION_DAYS)
             frames = {
-                "subscribers": self._summed("subscribers", ["msisdn"], SUBSCRIBER_COUNTERS, live),
+                "subscribers": self._summed("subscribers", ["msisdn"], SUBSCRIBER_COUNTERS, live)
+                .repartitionByRange("msisdn")
+                .sortWithinPartitions("msisdn"),
                 "operators": self._summed("operators", ["mccmnc"], OPERATOR_COUNTERS, live),
                 "links": self._summed("links", ["owner", "peer"], LINK_COUNTERS, live)
                 .repartitionByRange("owner", "peer")
@@ -116,9 +120,6 @@ class Store:
                 "totals": self._summed("totals", ["run_id"], TOTAL_COUNTERS, live),
                 "progress": self._progress(live),
                 "accounts": self._summed("accounts", ["source"], ("parsed", "rejected"), live),
-                "rejects": self._deltas("rejects", live).drop("stream_id", "batch_id"),
-                "files": self._deltas("files", live).drop("stream_id", "batch_id"),
-                "samples": samples,
             }
             self.publish(frames, f"compact-{uuid.uuid4().hex}", 0, replaces=live)
 
@@ -136,11 +137,13 @@ class Store:
         return self._read("manifest", _MANIFEST)
 
     def _live(self) -> DataFrame:
+        """Batches whose counters count: published, and not folded into a later one."""
         rows = self._manifest()
         retired = rows.select(F.explode("replaces").alias("r")).select("r.*")
-        return rows.select("stream_id", "batch_id").join(
-            retired, ["stream_id", "batch_id"], "left_anti"
-        )
+        return self._published().join(retired, ["stream_id", "batch_id"], "left_anti")
+
+    def _published(self) -> DataFrame:
+        return self._manifest().select("stream_id", "batch_id")
 
     def is_published(self, stream_id: str, batch_id: int) -> bool:
         """True also for batches folded into a later one."""
@@ -151,9 +154,11 @@ class Store:
         )
 
     def _deltas(self, kind: str, live: DataFrame | None = None) -> DataFrame:
-        """Rows of live batches. A few batches prune to their directories; many are joined."""
+        """Rows of live batches, of all published ones for rows that are never added up. A few
+        batches prune to their directories; many are joined."""
         rows = self._read(f"deltas/{kind}", f"{_KINDS[kind]}, {_BATCH}")
-        live = self._live() if live is None else live
+        if live is None:
+            live = self._live() if kind in _COUNTED else self._published()
         named = live.limit(NAMED_BATCHES + 1).collect()
         if len(named) > NAMED_BATCHES:
             return rows.join(live, ["stream_id", "batch_id"], "left_semi")
@@ -177,9 +182,10 @@ class Store:
     def _progress(self, live: DataFrame | None = None) -> DataFrame:
         return self._deltas("progress", live).groupBy("source").agg(F.max("seq").alias("seq"))
 
-    def _samples(self, live: DataFrame | None = None) -> DataFrame:
+    def _samples(self) -> DataFrame:
         newest = F.max_by(F.struct("taken_at", *SAMPLE_COLUMNS), "taken_at")
-        return self._deltas("samples", live).groupBy("ts").agg(newest.alias("s")).select("ts", "s.*")
+        rows = self._read("samples", f"{_SAMPLES}, day INT")
+        return rows.groupBy("ts").agg(newest.alias("s")).select("ts", "s.*")
 
     def subscribers(self) -> DataFrame:
         return present(
@@ -220,17 +226,28 @@ class Store:
     def keys(self) -> DataFrame:
         """Inventory by kind."""
         return store_keys(
-            self.subscribers(), self.operators(), self.links(), self.boards(),
-            self.totals(), self.progress(),
+            self.subscribers(), self.operators(), self.links(), self.totals(), self.progress()
         )
 
     def sample(self, ts: int | None = None) -> None:
-        """Take a sample of the totals now. The later one of the same second stays."""
+        """Take a sample of the totals now. The later one of the same second stays.
+
+        Samples are rows of a table of their own, by day: they are no batches, and reading
+        counters never lists them.
+        """
         taken_at = time.time_ns()
         ts = taken_at // 1_000_000_000 if ts is None else ts
         row = series.take_sample(self.totals(), self.keys(), ts)
-        self.publish(
-            {"samples": row.withColumn("taken_at", F.lit(taken_at))},
-            f"sample-{uuid.uuid4().hex}",
-            0,
+        row.coalesce(1).withColumns(
+            {"taken_at": F.lit(taken_at), "day": F.floor(F.col("ts") / _DAY).cast("int")}
+        ).write.mode("append").partitionBy("day").parquet(f"{self.root}/samples")
+
+    def sweep_samples(self, now: int | None = None, days: int = RETENTION_DAYS) -> None:
+        """Delete the days of samples that lie wholly past retention."""
+        now = int(time.time()) if now is None else now
+        past = F.col("day") < (now - days * _DAY) // _DAY
+        rows = self._read("samples", f"{_SAMPLES}, day INT")
+        delete_paths(
+            self.spark,
+            [f"{self.root}/samples/day={r.day}" for r in rows.filter(past).select("day").distinct().collect()],
         )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ringledger.functions.workspace import cut, small_side
@@ -117,29 +117,32 @@ def header_status(lines: DataFrame) -> DataFrame:
 
 
 def empty_files(spark: SparkSession, path: str | list[str], status: DataFrame) -> DataFrame:
-    """Files that hold no line at all. They come from Spark's own file listing, which may
-    write a path with other slashes after its scheme than the rows do."""
+    """Files that hold no line at all, failed.
+
+    No reader hands out empty files, so their names come from Spark's own file listing, which
+    the driver holds for every read anyway: one name per file, whatever the files hold. It may
+    write a path with other slashes after its scheme than the rows do.
+    """
     names = spark.read.text(path).inputFiles()
     listed = spark.createDataFrame([(n,) for n in names], "file_path string")
     plain = F.regexp_replace("file_path", "^([a-zA-Z0-9+.-]+):/+", "$1:/").alias("_plain")
     return (
         listed.select("file_path", plain)
         .join(status.select(plain), "_plain", "left_anti")
-        .drop("_plain")
+        .select(
+            "file_path",
+            F.element_at(F.split("file_path", "/"), -1).alias("source"),
+            F.lit(False).alias("ok"),
+            F.lit(None).cast("string").alias("format"),
+            F.lit(None).cast("decimal(20,0)").alias("declared_count"),
+        )
     )
 
 
 def file_report(spark: SparkSession, path: str | list[str], status: DataFrame) -> DataFrame:
     """Pass or fail of every file, the empty ones failed."""
     good = status.select("file_path", "source", "ok", "format", "declared_count")
-    empty = empty_files(spark, path, status).select(
-        "file_path",
-        F.element_at(F.split("file_path", "/"), -1).alias("source"),
-        F.lit(False).alias("ok"),
-        F.lit(None).cast("string").alias("format"),
-        F.lit(None).cast("decimal(20,0)").alias("declared_count"),
-    )
-    return good.unionByName(empty)
+    return good.unionByName(empty_files(spark, path, status))
 
 
 def with_marks(status: DataFrame, progress: DataFrame | None) -> DataFrame:
@@ -155,18 +158,59 @@ def with_marks(status: DataFrame, progress: DataFrame | None) -> DataFrame:
     )
 
 
-def _is_header() -> Column:
-    return F.col("head_id").eqNullSafe(F.col("_header_id"))
+def running_marks(staged: DataFrame, files: DataFrame) -> DataFrame:
+    """File status whose marks count the files before it that have the same name.
+
+    Files of one name go in the order of their paths, and each continues above what those
+    before it hold, as if each had come alone. Only the rows of repeated names are looked at:
+    one number for each of their files.
+    """
+    good = files.filter("ok")
+    repeated = cut(good.groupBy("source").count().filter("count > 1").select("source"), "names")
+    if repeated.isEmpty():
+        return files
+    names = small_side(repeated)
+    held = (
+        staged.filter("reject_reason IS NULL")
+        .join(names, "source", "left_semi")
+        .groupBy("file_path")
+        .agg(F.max("sequence").alias("_last"))
+    )
+    before = (
+        Window.partitionBy("source").orderBy("file_path").rowsBetween(Window.unboundedPreceding, -1)
+    )
+    again = (
+        good.join(names, "source", "left_semi")
+        .join(held, "file_path", "left")
+        .withColumn("mark", F.greatest("mark", F.max("_last").over(before)))
+        .select(files.columns)
+    )
+    rest = files.filter("NOT ok").unionByName(good.join(names, "source", "left_anti").select(files.columns))
+    return cut(rest.unionByName(again), "files")
 
 
 def admitted(staged: DataFrame, files: DataFrame) -> DataFrame:
     """Rows of files with a good header, the header itself left out, with ``mark`` beside.
 
-    ``files`` has one row per file, so it is counted first and broadcast when small; no
-    record is shuffled then.
+    A header never parses, so only rejected rows are held against the header numbers; and only
+    files that failed or have a mark, few as a rule, are met with the records. Where there are
+    none, records join with nothing.
     """
-    passed = small_side(files.filter("ok").select("file_path", "_header_id", "mark"))
-    return staged.join(passed, "file_path").filter(~_is_header()).drop("_header_id")
+    failed = cut(files.filter("NOT ok").select("file_path"), "failed")
+    marked = cut(files.filter("ok AND mark > 0").select("file_path", "mark"), "marks")
+    heads = files.filter("ok").select("file_path", F.col("_header_id").alias("head_id"))
+    bad = staged.filter("reject_reason IS NOT NULL")
+    rows = staged.filter("reject_reason IS NULL").unionByName(
+        bad.join(small_side(heads), ["file_path", "head_id"], "left_anti").select(staged.columns)
+    )
+    if not failed.isEmpty():
+        rows = rows.join(small_side(failed), "file_path", "left_anti")
+    none = F.lit(0).cast("decimal(20,0)")
+    if marked.isEmpty():
+        return rows.withColumn("mark", none)
+    return rows.join(small_side(marked), "file_path", "left").withColumn(
+        "mark", F.coalesce("mark", none)
+    )
 
 
 def not_applied() -> Column:
@@ -223,7 +267,7 @@ def read_records(
 ) -> DataFrame:
     """Records of all good files below ``path`` that were not applied yet."""
     staged = stage(scan_files(spark, path), record_format, **options)
-    files = with_marks(header_status(staged), progress)
+    files = running_marks(staged, cut(with_marks(header_status(staged), progress), "files"))
     return new_records(admitted(staged, files))
 
 

@@ -51,22 +51,27 @@ def fold_files(
     batch_id: int,
     run_id: str = "",
     record_format: str = "csv",
+    path: str | list[str] | None = None,
     **options,
 ) -> None:
     """Fold scanned files as one batch: counters, marks, accounting and rejects together.
 
-    The text is read and parsed once into a staged table. A file delivered again continues
-    above the mark of its name.
+    The text is read and parsed once into a staged table. A file delivered again, in this batch
+    or a later one, continues above the mark of its name. Files below ``path`` without a line,
+    which leave none in ``lines``, get their outcome too.
     """
     if store.is_published(stream_id, batch_id):
         return
     with scratch(store.spark):
         staged = files.stage(lines, record_format, _FIELDS, **options)
         status = cut(files.with_marks(files.header_status(staged), store.progress()), "files")
+        status = files.running_marks(staged, status)
         rows = files.admitted(staged, status).withColumn(
             "counted", F.col("reject_reason").isNull() & files.not_applied()
         )
         listed = status.select("file_path", "source", "ok", "format", "declared_count")
+        if path is not None:
+            listed = files.file_report(store.spark, path, status)
         store.publish(_tables(rows, run_id) | {"files": listed}, stream_id, batch_id, run_id)
 
 
@@ -98,8 +103,9 @@ def fold_bodies(
 def ingest_files(
     spark: SparkSession, path: str | list[str], store: Store, run_id: str = "", **options
 ) -> None:
-    """Fold all files below ``path`` as one batch."""
-    fold_files(store, files.scan_files(spark, path), uuid.uuid4().hex, 0, run_id, **options)
+    """Fold all files below ``path`` as one batch. Empty files get their outcome too."""
+    lines = files.scan_files(spark, path)
+    fold_files(store, lines, uuid.uuid4().hex, 0, run_id, path=path, **options)
 
 
 # --- streams --------------------------------------------------------------------------------

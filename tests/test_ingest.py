@@ -19,7 +19,7 @@ def store(spark, tmp_path):
 
 
 def write(folder, name, sequences, header=True):
-    folder.mkdir(exist_ok=True)
+    folder.mkdir(parents=True, exist_ok=True)
     rows = [line(VOICE_FIELDS if n % 2 else DATA_FIELDS, sequence=n) for n in sequences]
     top = [f"CDR|csv|{len(rows)}"] if header else []
     (folder / name).write_text("\n".join(top + rows) + "\n")
@@ -118,7 +118,7 @@ def test_replay_of_a_published_batch_changes_nothing(spark, store, tmp_path):
     before = state(store)
     ingest.fold_files(store, scanned, "s", 0)
     assert state(store) == before
-    store.compact(0)
+    store.compact()
     ingest.fold_files(store, scanned, "s", 0)
     assert state(store) == before
 
@@ -152,7 +152,7 @@ def test_bodies_have_no_mark_and_keep_sequence_zero(spark, store, tmp_path):
 def test_run_and_lifetime_totals(spark, store, tmp_path):
     ingest.ingest_files(spark, write(tmp_path / "one", "a.cdr", [1, 2]), store, "run-1")
     ingest.ingest_files(spark, write(tmp_path / "two", "b.cdr", [1]), store, "run-2")
-    store.compact(0)
+    store.compact()
     assert store.totals().first().records == 3
     assert store.totals("run-1").first().records == 2
     assert store.totals("run-3").first().records == 0
@@ -163,12 +163,16 @@ def test_compaction_keeps_every_answer(spark, store, tmp_path):
         ingest.ingest_files(spark, write(tmp_path / name, name, [1, 2, i + 3]), store)
     store.sample(1_000)
     before, marks = state(store), rows(store.progress())
-    store.compact(2_000)
+    store.compact()
     assert state(store) == before and rows(store.progress()) == marks
     assert store._live().count() == 1
     assert [r.ts for r in store.samples().collect()] == [1_000]
     ingest.ingest_files(spark, write(tmp_path / "d.cdr", "d.cdr", [7]), store)
-    store.compact(1_000 + 8 * 86400)
+    store.compact()
+    assert store.samples().count() == 1
+    store.sweep_samples(1_000 + 6 * 86400)
+    assert store.samples().count() == 1
+    store.sweep_samples(1_000 + 9 * 86400)
     assert store.samples().count() == 0
     assert store.totals().first().records == 10
 
@@ -221,13 +225,15 @@ def test_work_dir_comes_from_the_session(spark):
 
 def test_broadcast_only_after_counting(spark):
     few, many = spark.range(10), spark.range(11)
-    assert workspace.fits_broadcast(few, 10) and not workspace.fits_broadcast(many, 10)
+    assert workspace.fits_broadcast(few, 160) and not workspace.fits_broadcast(many, 160)
+    long = spark.range(1).select(F.repeat(F.lit("x"), 200).alias("t"))
+    assert not workspace.fits_broadcast(long, 160)
     left = spark.range(5)
 
     def hinted(side):
         return "broadcast" in left.join(side, "id")._jdf.queryExecution().logical().toString()
 
-    assert hinted(workspace.small_side(few, 10)) and not hinted(workspace.small_side(many, 10))
+    assert hinted(workspace.small_side(few, 160)) and not hinted(workspace.small_side(many, 160))
 
 
 def test_scratch_tables_go_after_the_batch(spark, store, tmp_path, monkeypatch):
@@ -235,7 +241,7 @@ def test_scratch_tables_go_after_the_batch(spark, store, tmp_path, monkeypatch):
     monkeypatch.setattr(workspace, "work_dir", lambda spark: str(shared))
     shared.mkdir()
     ingest.ingest_files(spark, write(tmp_path / "in", "a.cdr", [1, 2]), store)
-    store.compact(0)
+    store.compact()
     assert list(shared.iterdir()) == []
     assert store.totals().first().records == 2
 
@@ -268,3 +274,20 @@ def test_folded_files_are_archived(spark, store, tmp_path):
     assert store.totals().first().records == 4
     assert [p.name for p in archive.rglob("a.cdr")] == ["a.cdr"]
     assert not (tmp_path / "in" / "a.cdr").exists()
+
+
+def test_same_names_in_one_batch_are_as_in_two(spark, store, tmp_path):
+    for folder, sequences in (("d1", [1, 2, 3]), ("d2", [2, 3, 4]), ("d3", [1, 9])):
+        write(tmp_path / "in" / folder, "a.cdr", sequences)
+    write(tmp_path / "in" / "d1", "b.cdr", [1, 2])
+    ingest.ingest_files(spark, [str(tmp_path / "in" / d) for d in ("d1", "d2", "d3")], store)
+    assert store.totals().first().records == 7
+    assert {r.source: int(r.seq) for r in store.progress().collect()} == {"a.cdr": 9, "b.cdr": 2}
+
+
+def test_empty_files_have_an_outcome(spark, store, tmp_path):
+    path = write(tmp_path / "in", "a.cdr", [1])
+    (tmp_path / "in" / "e.cdr").write_text("")
+    ingest.ingest_files(spark, path, store)
+    assert {r.source: r.ok for r in store.files().collect()} == {"a.cdr": True, "e.cdr": False}
+    assert store.totals().first().records == 1
