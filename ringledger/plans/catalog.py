@@ -28,7 +28,7 @@ from ringledger.schema import (
     SUBSCRIBER_BOARDS,
     SUGGESTIONS,
 )
-from ringledger.sources import files, lines
+from ringledger.sources import exports, files, lines
 from ringledger.sources.tables import event_records, events
 from ringledger.streaming import ingest
 
@@ -92,6 +92,23 @@ def merge_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _voice_and_rest(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    records = event_records(spark, sf_dir)
+    voice = F.col("usage").isin("MOC", "MTC")
+    return records.filter(voice), records.filter(~voice)
+
+
+@query
+def merged_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = _voice_and_rest(spark, sf_dir)
+    return counters.merge_operators(*(counters.operator_sums(p) for p in parts))
+
+
+@query
+def merged_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return counters.merge_totals(*(counters.totals(p) for p in _voice_and_rest(spark, sf_dir)))
+
+
 # --- boards -----------------------------------------------------------------------------------
 
 
@@ -582,3 +599,97 @@ def ingested_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         ingest.ingest_files(spark, path, store)
     store.compact()
     return store.links()
+
+
+@query
+def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of one of two runs that one store took, after compaction."""
+    store = Store(spark, fresh_path(spark, "store"))
+    for run_id, records in zip(("voice", "rest"), _voice_and_rest(spark, sf_dir)):
+        feed = fresh_path(spark, "feed")
+        files.write_files(lines.to_lines(records), feed)
+        ingest.ingest_files(spark, feed, store, run_id)
+    store.compact()
+    return store.totals("voice")
+
+
+@query
+def restarted_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of a stream that stopped after some files and went on with the rest."""
+    store = Store(spark, fresh_path(spark, "store"))
+    feed, checkpoint = fresh_path(spark, "feed"), fresh_path(spark, "offsets")
+    for records in _voice_and_rest(spark, sf_dir):
+        part = fresh_path(spark, "part")
+        files.write_files(lines.to_lines(records), part)
+        spark.read.option("lineSep", "\n").text(part).write.mode("append").option(
+            "lineSep", "\n"
+        ).text(feed)
+        stream = spark.readStream.option("lineSep", "\n").text(feed)
+        bodies = stream.filter("value NOT LIKE 'CDR|%'")
+        ingest.ingest_stream(bodies, store, checkpoint).awaitTermination()
+    return store.totals()
+
+
+@query
+def stream_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many messages of one line each a store took, damaged ones among them."""
+    store = Store(spark, fresh_path(spark, "store"))
+    feed = fresh_path(spark, "feed")
+    _damaged_lines(spark, sf_dir).select("value").write.option("lineSep", "\n").text(feed)
+    stream = spark.readStream.option("lineSep", "\n").text(feed).withColumnRenamed("value", "body")
+    query_ = ingest.ingest_stream(stream, store, fresh_path(spark, "offsets"), body="body")
+    query_.awaitTermination()
+    return store.accounts().select("parsed")
+
+
+@query
+def sampled_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sample of a store's totals, taken twice in a second."""
+    store = Store(spark, fresh_path(spark, "store"))
+    feed = fresh_path(spark, "feed")
+    files.write_files(lines.to_lines(event_records(spark, sf_dir)), feed)
+    store.sample(1_000)
+    ingest.ingest_files(spark, feed, store)
+    store.sample(1_000)
+    return store.samples().drop("keys")
+
+
+# --- files and formats -------------------------------------------------------------------------
+
+
+@query
+def written_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record files read back: what their headers declare, the records, and whether every file
+    has a header."""
+    feed = fresh_path(spark, "feed")
+    files.write_files(lines.to_lines(event_records(spark, sf_dir)), feed)
+    status = files.header_status(files.scan_files(spark, feed))
+    read = files.read_records(spark, feed).agg(F.count("*")).scalar()
+    return status.agg(
+        F.sum("declared_count").cast("bigint").alias("declared"), F.bool_and("ok").alias("headed")
+    ).withColumn("read_back", read)
+
+
+@query
+def export_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole voice board through a CSV file."""
+    path = fresh_path(spark, "export")
+    page = boards.board_page(_board(spark, sf_dir, "voice"), 0, 0)
+    exports.export_csv(page, path, exports.BOARD_EXPORT)
+    return spark.read.option("header", True).schema("position bigint, id string, score bigint").csv(path)
+
+
+@query
+def parse_other_separator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.to_lines(event_records(spark, sf_dir))
+    changed = rows.select(F.translate("value", "|", ";").alias("value"))
+    return counters.totals(lines.records_of(lines.parse_lines(changed, separator=";")))
+
+
+@query
+def parse_other_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of lines in a format that was registered by name."""
+    lines.register_format("tabs", lambda df, **options: lines.parse_lines(df, separator="\t"))
+    rows = lines.to_lines(event_records(spark, sf_dir))
+    changed = rows.select(F.translate("value", "|", "\t").alias("value"))
+    return counters.totals(lines.records_of(lines.parse_format("tabs", changed)))

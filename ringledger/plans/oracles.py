@@ -431,6 +431,18 @@ FROM cdr WHERE event_type = 'error'""",
         "stream_totals": _with(_CDR, _TOTALS) + "SELECT * FROM totals",
         "stream_subscriber_usage": _with(_CDR, _SUB) + "SELECT * FROM sub",
         "ingested_links": _with(_CDR, _KEPT, _links("kept")) + "SELECT * FROM links",
+        "merged_operators": _with(_CDR, _OP) + "SELECT * FROM op",
+        "merged_totals": _with(_CDR, _TOTALS) + "SELECT * FROM totals",
+        "run_totals": _with(_CDR) + f"SELECT {_TOTAL_COLUMNS} FROM cdr WHERE usage IN ('MOC', 'MTC')",
+        "restarted_totals": _with(_CDR, _TOTALS) + "SELECT * FROM totals",
+        "stream_bodies": _with(_CDR, _KEPT) + "SELECT count(*) AS parsed FROM kept",
+        "sampled_store": _with(_CDR, _TOTALS) + "SELECT CAST(1000 AS BIGINT) AS ts, * FROM totals",
+        "written_files": _with(_CDR)
+        + "SELECT count(*) AS declared, true AS headed, count(*) AS read_back FROM cdr",
+        "export_read_back": _ALL_BOARDS
+        + "SELECT position, id, score FROM placed WHERE board = 'voice'",
+        "parse_other_separator": _with(_CDR, _TOTALS) + "SELECT * FROM totals",
+        "parse_other_format": _with(_CDR, _TOTALS) + "SELECT * FROM totals",
     }
     for name in (*SUBSCRIBER_BOARDS, *OPERATOR_BOARDS):
         sql["top_" + name.replace("-", "_")] = (
