@@ -255,7 +255,9 @@ def train(found: DataFrame) -> Selector:
     is selected.
     """
     names = [*FEATURES]
-    each = found.select(F.explode("__all").alias("c"), F.pmod(F.xxhash64("doc_id", F.col("c.start")), F.lit(4)).alias("fold"))
+    # The outer form: before the other, Spark would put a filter that finds all candidates once more.
+    each = found.select("doc_id", F.explode_outer("__all").alias("c")).filter("c IS NOT NULL")
+    each = each.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.col("c.start")), F.lit(4)))
     cells = each.groupBy(*(F.col(f"c.{x}").alias(x) for x in names), (F.col("fold") == 0).alias("aside"), F.col("c.ok").alias("ok")).count().collect()
     x = {k: np.array([r[k] for r in cells], int) for k in names}
     n, ok, aside = (np.array([r[k] for r in cells], float) for k in ("count", "ok", "aside"))
