@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ringledger.functions.columns import id_text, plus, ratio
 from ringledger.functions.ranking import page_bounds, ranked
 from ringledger.functions.workspace import cut
-from ringledger.schema import OPERATOR_BOARDS, SUBSCRIBER_BOARDS, TOP_LIMIT
+from ringledger.schema import OPERATOR_BOARDS, SUBSCRIBER_BOARDS, TOP_LIMIT, TOP_LIMIT_MAX
 
 
 def board(name: str, subscribers: DataFrame, operators: DataFrame) -> DataFrame:
@@ -51,13 +51,15 @@ def board_page(
 ) -> DataFrame:
     """A page of one board with positions: score, then id text, both descending.
 
-    A limit of 0 is the whole board; then positions come from the split ranking, since no
-    task can hold a board.
+    A limit of 0 is the whole board. Then, and for long pages, positions come from the split
+    ranking, since no task can hold them.
     """
     offset, limit = page_bounds(offset, limit, TOP_LIMIT)
     descending = [F.desc(c) for c in _ORDER]
-    if limit == 0:
-        return board_positions(entries).filter(F.col("position") > offset)
+    if limit == 0 or offset + limit > TOP_LIMIT_MAX:
+        rows = board_positions(entries).filter(F.col("position") > offset)
+        rows = rows.filter(F.col("position") <= offset + limit) if limit else rows
+        return rows.select("position", "id", "score")
     page = entries.orderBy(*descending).offset(offset).limit(limit)
     place = F.row_number().over(Window.partitionBy("board").orderBy(*descending))
     return page.select((place + offset).cast("bigint").alias("position"), "id", "score")
