@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ringledger.functions.workspace import cut
 from ringledger.llm.components import components
+from ringledger.llm.copies import keep_one as keep_one  # the pipeline's stage, with its own bound
 from ringledger.llm.rows import batches, map_arrow, texts
 
 #: Words of a shingle, the seed of its hash, and bits in which linked fingerprints may differ.
@@ -162,14 +163,3 @@ def near_duplicates(docs: DataFrame, bits: int = BITS, words: int = WORDS, seed:
 
 def digest(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose ``doc_id`` is the smallest of its component, with all their columns.
-
-    Rows that repeat a ``doc_id`` count as copies: one of them stays. Null ids are one id.
-    """
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
-    keep = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key.alias("__key"))
-    # Both steps need rows by the same key, so whole rows move once.
-    return docs.withColumn("__key", key).join(keep, "__key", "left_semi").dropDuplicates(["__key"]).drop("__key")
