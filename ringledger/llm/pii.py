@@ -32,7 +32,7 @@ BASE = {
 
 #: Looser generators, in one expression, and what tells their kinds apart.
 LOOSE = {
-    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?[A-Za-z0-9_/+-]{8,64})",
+    "secret": r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key)\s?[=:]\s?[\"']?[A-Za-z0-9_/+-]{8}[A-Za-z0-9_/+=-]*+(?:\.[A-Za-z0-9_/+=-]++)*+)",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?\b",
     "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
@@ -116,7 +116,8 @@ def valid(kind: str, match: Column) -> Column:
     if kind == "ssn":
         return ~match.rlike("^(?:000|666|9)|-00-|-0000$")
     if kind == "secret":
-        return match.rlike("[0-9][A-Za-z0-9_/+-]*$") & match.rlike("[A-Za-z][A-Za-z0-9_/+-]*$")
+        value = F.regexp_replace(match, r"^[^=:]*[=:]\s?[\"']?", "")
+        return value.rlike("[0-9]") & value.rlike("[A-Za-z]")
     if kind == "local_phone":
         return digits.rlike("^[2-9][0-9]{2}[2-9]")
     return F.lit(True)

@@ -65,6 +65,15 @@ def test_redaction(odd, texts_by_id, documents):
         assert base_spans(texts_by_id[r["doc_id"]]) or r["text"] == texts_by_id[r["doc_id"]] or "[" in r["text"]
 
 
+def test_long_secrets_leave_nothing(spark, documents):
+    """Before, a span of 64 characters left the rest of a longer secret in the text."""
+    jwt = ".".join(("eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4gRG9lIn0", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJV-adQssw5c="))
+    secrets = ["aB3dE5gH7j" * 20, "aB3dE5gH7jaB3dE5gH7j" + "x" * 180, jwt, "Zm9vYmFyMTIzNDU2Nzg5MA==", "aB3dE5gH" + ".c1" * 9000, "abcdefgh" * 9 + "1"]
+    rows = [(10_000_000 + k, f"Here is it: {name}{secret}. The rest stays.") for k, secret in enumerate(secrets) for name in ("password=",)]
+    after = {r["doc_id"]: r["text"] for r in pii.redacted(documents.select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert [after[i] for i, _ in rows] == ["Here is it: [SECRET]. The rest stays."] * len(rows)
+
+
 def plain_signatures(text):
     words, out = regex.split(r"[^\p{L}\p{N}]+", text.lower()), set()
     for k, word in enumerate(words):
