@@ -34,10 +34,21 @@ SHAPES, SOURCES, LANGS = 96, 16, 8
 CONTENT, METADATA = SHAPES + 5, SOURCES + LANGS + 14
 
 
+class _Kinds(dict[int, str]):
+    """Each character's kind: upper case, other letters and digits, or itself."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        self[code] = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return self[code]
+
+
+_KIND_OF, _RUN = _Kinds(), re.compile(r"(.)\1+", re.DOTALL)
+
+
 def shape(word: str) -> str:
-    """A word's kinds of characters in order, each run once: ``Hello!!`` is ``Aa!``."""
-    kinds = ["A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64]]
-    return "".join(c for k, c in enumerate(kinds) if not k or c != kinds[k - 1])[:12]
+    """A word's kinds of characters in order, each run once, over the whole word: ``Hello!!`` is ``Aa!``."""
+    return _RUN.sub(r"\1", word.translate(_KIND_OF))
 
 
 class ContentView:

@@ -88,3 +88,11 @@ def test_pipeline_keeps_its_promises(spark):
         if k == 3:
             assert docs.count() == before.count()
     assert docs.select("doc_id").distinct().count() == before.count()
+
+
+def test_shapes_are_of_whole_words():
+    """Before, only the first 64 characters of a word and 12 of its shape were read."""
+    assert quality.shape("Hello!!") == "Aa!" and quality.shape("") == "" and quality.shape("\u00c4\u6f22\u5b57\u0663\n\n") == "Aa0\n"
+    assert quality.shape("a" * 70 + "9") == "a0" and quality.shape("a1" * 20) == "a0" * 20
+    view = quality.ContentView()
+    assert (view.read("\u6f22" * 5000) != view.read("\u6f22" * 5000 + "A9!" * 5000)).any()
