@@ -1,12 +1,12 @@
-"""Packing token sequences: best fit in bulk-synchronous rounds.
+"""Packing token sequences: best fit over run lengths, in a sequential pass of the driver.
 
 Pieces and gaps are whole numbers up to the sequence length, so both sorted lists are held as runs of
-equal values: at most ``limit`` runs of pieces, however many pieces there are. A round takes the
+equal values: at most ``limit`` runs of pieces, however many pieces there are. A step takes the
 longest run left, sweeps its successors among the sorted gaps, gives each gap of the smallest fitting
 run as many pieces as go in, and puts the changed gaps back in order; pieces that no gap holds open
 new sequences. Which piece of a run gets which gap follows from its rank alone, so no two pieces ask
 for the same one. Spark finds the ranks (counts per task and length, then prefix sums) and places
-every piece by a join of its rank with the rounds' ranges.
+every piece by a join of its rank with the steps' ranges.
 """
 
 from __future__ import annotations
