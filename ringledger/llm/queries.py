@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ringledger.llm import bpe, licenses, packing, pii, quality, shards, simhash, spotsigs, topk, toxicity
+from ringledger.llm import bpe, collocations, licenses, packing, pii, quality, shards, simhash, spotsigs, tokencounts, topk, toxicity, variants
 from ringledger.llm.rows import documents, table
 
 
@@ -50,8 +50,23 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(documents(spark, sf_dir))
 
 
+def op11_tokencounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents; see :func:`tokencounts.counted` for nulls, repeats and extra columns."""
+    return tokencounts.counted(documents(spark, sf_dir))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's first phrases; see :func:`collocations.collocations` for nulls, ties and repeats."""
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words with their forms and roots; see :func:`variants.grouped` for nulls, ties and repeats."""
+    return variants.grouped(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {x.__name__: x for x in (op1_shards, op2_licenses, op3_toxicity, op4_packing, op5_pii, op6_topk, op7_quality, op8_spotsigs, op9_simhash, op10_bpe)}
+    return {x.__name__: x for x in (op1_shards, op2_licenses, op3_toxicity, op4_packing, op5_pii, op6_topk, op7_quality, op8_spotsigs, op9_simhash, op10_bpe, op11_tokencounts, op12_collocations, op13_variants)}
 
 
 TOPK_SQL = """
@@ -69,4 +84,4 @@ from s qualify rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_licenses": licenses.digest_sql(), "op6_topk": TOPK_SQL}
+    return {"op2_licenses": licenses.digest_sql(), "op6_topk": TOPK_SQL, "op12_collocations": collocations.SQL}

@@ -13,7 +13,7 @@ SF = "/root/testdata/sf0.01"
 def test_all_are_registered():
     found = __spark_entry__.queries()
     assert {*queries.queries(), "pipeline"} <= set(found)
-    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in queries.queries()) == list(range(1, 14))
     assert found["pipeline"] is corpus_pipeline.run
     assert set(queries.oracle_sql()) <= set(queries.queries())
 
