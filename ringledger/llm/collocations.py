@@ -195,27 +195,30 @@ with t as (
   select lang, doc, piece, unnest(words) as a, generate_subscripts(words, 1) as place from s
 ), x as (
   select lang, a, lead(a) over q as b, lead(a, 2) over q as c from w window q as (partition by doc, piece order by place)
-), c1 as (select lang, a, count(*)::hugeint as f from x group by all)
-, c2 as (select lang, a, b, count(*)::hugeint as f from x where b is not null group by all)
-, c3 as (select lang, a, b, c, count(*)::hugeint as f from x where c is not null group by all)
-, two as (
-  select k.lang, k.a || ' ' || k.b as phrase, k.f as a, l.f as l, r.f as r, {FACTOR}::hugeint * k.f * k.f // (l.f * r.f) as score
-  from c2 k join c1 l on l.lang = k.lang and l.a = k.a join c1 r on r.lang = k.lang and r.a = k.b
-  where k.f >= {LEAST} and not exists (
-    from c3 o where o.lang = k.lang and o.f >= {LEAST} and 100 * o.f >= {COVERED} * k.f and o.a = k.a and o.b = k.b)
-  and not exists (
-    from c3 o where o.lang = k.lang and o.f >= {LEAST} and 100 * o.f >= {COVERED} * k.f and o.b = k.a and o.c = k.b)
+), g as materialized (
+  select lang, a as phrase, null as head, null as tail, count(*)::hugeint as f from x group by lang, a
+  union all select lang, a || ' ' || b, a, b, count(*)::hugeint from x where b is not null group by lang, a, b
+), g3 as materialized (
+  select lang, a || ' ' || b || ' ' || c as phrase, a, c, a || ' ' || b as ab, b || ' ' || c as bc, count(*)::hugeint as f
+  from x where c is not null group by lang, a, b, c having count(*) >= {LEAST}
+), covers as materialized (
+  select lang, phrase, max(f) as longer from (select lang, ab as phrase, f from g3 union all select lang, bc, f from g3) group by all
+), g2 as materialized (
+  select lang, phrase, head, tail, f, longer from g left join covers using (lang, phrase) where head is not null and f >= {LEAST}
+), two as (
+  select k.lang, k.phrase, k.f as a, l.f as l, r.f as r, {FACTOR}::hugeint * k.f * k.f // (l.f * r.f) as score
+  from g2 k join g l on l.lang = k.lang and l.phrase = k.head join g r on r.lang = k.lang and r.phrase = k.tail
+  where longer is null or 100 * longer < {COVERED} * k.f
 ), cut3 as (
-  select k.lang, k.a || ' ' || k.b || ' ' || k.c as phrase, k.f as a,
+  select k.lang, k.phrase, k.f as a,
     [{{'score': {FACTOR}::hugeint * k.f * k.f // (l1.f * r1.f), 'k': 1, 'l': l1.f, 'r': r1.f}},
      {{'score': {FACTOR}::hugeint * k.f * k.f // (l2.f * r2.f), 'k': 2, 'l': l2.f, 'r': r2.f}}] as cuts
-  from c3 k join c1 l1 on l1.lang = k.lang and l1.a = k.a join c2 r1 on r1.lang = k.lang and r1.a = k.b and r1.b = k.c
-    join c2 l2 on l2.lang = k.lang and l2.a = k.a and l2.b = k.b join c1 r2 on r2.lang = k.lang and r2.a = k.c
-  where k.f >= {LEAST}
+  from g3 k join g l1 on l1.lang = k.lang and l1.phrase = k.a join g r1 on r1.lang = k.lang and r1.phrase = k.bc
+    join g l2 on l2.lang = k.lang and l2.phrase = k.ab join g r2 on r2.lang = k.lang and r2.phrase = k.c
 ), three as (
   select lang, phrase, a, list_min(cuts).l as l, list_min(cuts).r as r, list_min(cuts).score as score from cut3
 ), found as (from two union all from three)
-, n as (select lang, sum(f) as n from c1 group by lang)
+, n as (select lang, sum(f) as n from g where head is null group by lang)
 , placed as (
   select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from found join n using (lang)
 )
