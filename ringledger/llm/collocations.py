@@ -4,6 +4,9 @@ A run of words without punctuation is a piece. Trigger words, which a hash of th
 chunks; each chunk reaches two words into the next one, so every phrase lies whole in the chunk that holds its first
 word, and counts there only. Passages that repeat are cut alike, so the dictionary of distinct chunks with their parse
 frequencies is smaller than the texts, and phrases are counted inside distinct chunks, times the frequency.
+
+A phrase of three words is a candidate only if both phrases of two words in it occur as often. Those are known first,
+as bits of a hash in a table of fixed size; phrases of three words with a missing bit are not counted at all.
 """
 
 from __future__ import annotations
@@ -13,7 +16,9 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,58 +36,62 @@ TRIGGER, MOST = 12, 128
 COVERED = 50
 
 #: Entries that a task adds up before it hands them on.
-HELD = 300_000
+HELD = 400_000
+
+#: Bits of the hash of a frequent phrase: the table of bits has 2 to this power, 16 MB. More phrases than that would
+#: only make it pass more.
+BITS = 27
 
 #: Scores are in millionths.
 FACTOR = 1_000_000
 
 _PIECES = re.compile("[.,;:!?\x0a-\x0d]+")
-_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "")
 
 
 def pieces(text: str) -> list[list[str]]:
     """Words of each piece; pieces without a word are left out."""
-    found = (x.split(" ") for x in _PIECES.split(text.translate(_LOWER).replace("\t", " ")))
+    # Bytes know the case of A to Z alone.
+    found = (x.split(" ") for x in _PIECES.split(text.encode().lower().decode().replace("\t", " ")))
     return [y for y in ([w for w in x if w] for x in found) if y]
 
 
-class Parser:
-    """Cuts pieces into chunks. Triggers are remembered, at most HELD words at a time."""
+class Triggers(dict):
+    """Whether a word is a trigger, worked out once as long as the task remembers it."""
 
-    def __init__(self, trigger: int = TRIGGER, most: int = MOST):
-        self.trigger, self.most = trigger, most
-        self.known: dict[str, bool] = {}
+    def __init__(self, trigger: int = TRIGGER):
+        super().__init__()
+        self.trigger = trigger
 
-    def starts(self, word: str) -> bool:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > HELD:
-                self.known = {}
-            found = self.known[word] = zlib.crc32(word.encode()) % self.trigger == 0
+    def __missing__(self, word: str) -> bool:
+        if len(self) > HELD:
+            self.clear()
+        found = self[word] = zlib.crc32(word.encode()) % self.trigger == 0
         return found
 
-    def chunks(self, words: list[str]) -> list[tuple[int, str]]:
-        """``own`` and the chunk: its words with up to two that follow; phrases that start in the first ``own`` count here."""
-        if len(words) <= self.trigger // 2:
-            return [(len(words), " ".join(words))]
-        cuts, last, starts = [0], 0, self.starts
-        for k in range(1, len(words)):
-            if k - last >= self.most or starts(words[k]):
-                cuts.append(k)
-                last = k
-        cuts.append(len(words))
-        return [(b - a, " ".join(words[a : b + WORDS - 1])) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+def chunks_of(words: list[str], triggers: Triggers, most: int = MOST) -> list[tuple[int, str]]:
+    """``own`` and the chunk: its words with up to two that follow; phrases that start in the first ``own`` count here."""
+    cuts = [k for k, x in enumerate(words) if triggers[x]]
+    if not cuts or cuts[0]:
+        cuts.insert(0, 0)
+    cuts.append(len(words))
+    out = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        for start in range(a, b, most):
+            own = min(b - start, most)
+            out.append((own, " ".join(words[start : start + own + WORDS - 1])))
+    return out
 
 
 def dictionary(docs: DataFrame, trigger: int = TRIGGER, most: int = MOST) -> DataFrame:
     """``lang``, ``own``, ``chunk`` and ``times``: the distinct chunks of all texts with their parse frequencies."""
 
     def task(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser, held = Parser(trigger, most), {}
+        triggers, held = Triggers(trigger), {}
         for batch, values in batches(found):
             for lang, text in zip(batch.column("lang").to_pylist(), values, strict=True):
                 for words in pieces(text):
-                    for own, chunk in parser.chunks(words):
+                    for own, chunk in chunks_of(words, triggers, most):
                         key = (lang, own, chunk)
                         held[key] = held.get(key, 0) + 1
             if len(held) > HELD:
@@ -100,23 +109,29 @@ def _dictionary(held: dict[tuple[str, int, str], int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array([*held.values()], pa.int64())], ["lang", "own", "chunk", "times"])
 
 
-def phrases(chunks: DataFrame) -> DataFrame:
-    """``lang``, ``phrase`` and ``f``: how often each phrase of one to WORDS words occurs, from distinct chunks."""
+def phrases(chunks: DataFrame, bits: Broadcast | None = None) -> DataFrame:
+    """``lang``, ``phrase`` and ``f``: how often phrases occur, from distinct chunks: those of one and two words or,
+    with ``bits``, those of three whose first and last two words are in that table."""
 
     def task(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Counter[str]] = {}
+        table = None if bits is None else bits.value
         for batch, values in batches(found, text="chunk"):
             for lang, own, times, chunk in zip(*(batch.column(c).to_pylist() for c in ("lang", "own", "times")), values, strict=True):
                 words = chunk.split(" ")
-                longest, all_ = words[:own], [*words[:own]]
-                for size in range(1, WORDS):
-                    longest = [f"{a} {b}" for a, b in zip(longest, words[size:], strict=False)]
-                    all_ += longest
+                pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+                if table is None:
+                    listed = words[:own] + pairs[:own]
+                else:
+                    base = zlib.crc32(f"{lang}\0".encode())
+                    places = [zlib.crc32(x.encode(), base) >> (32 - BITS) for x in pairs]
+                    often = [table[p >> 3] >> (p & 7) & 1 for p in places]
+                    listed = [f"{pairs[k]} {words[k + 2]}" for k in range(min(own, len(words) - 2)) if often[k] and often[k + 1]]
                 counts = held.setdefault(lang, Counter())
                 if times == 1:
-                    counts.update(all_)
+                    counts.update(listed)
                 else:
-                    for phrase in all_:
+                    for phrase in listed:
                         counts[phrase] += times
             if sum(map(len, held.values())) > HELD:
                 yield _phrases(held)
@@ -127,6 +142,16 @@ def phrases(chunks: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
+def bit_table(pairs: DataFrame) -> Broadcast:
+    """The table of bits of ``pairs`` (lang, phrase), 16 MB at every size of the input, for all tasks."""
+    place = F.shiftright(F.crc32(F.concat_ws("\0", "lang", "phrase").cast("binary")), 32 - BITS)
+    words = pairs.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("word"))
+    found = words.toArrow()
+    table = np.zeros((1 << BITS) // 64, "<i8")
+    table[found.column("at").to_numpy()] = found.column("word").to_numpy()
+    return pairs.sparkSession.sparkContext.broadcast(table.tobytes())
+
+
 def _phrases(held: dict[str, Counter[str]]) -> pa.RecordBatch:
     langs = [lang for lang, counts in held.items() for _ in counts]
     names = [x for counts in held.values() for x in counts]
@@ -167,10 +192,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, trigger: i
     the cuts fall changes no count. An empty table gives no rows.
     """
     chunks = cut(dictionary(docs, trigger, most), "chunks")
-    often = cut(phrases(chunks).filter(F.col("f") >= least), "phrases").withColumn("size", F.size(F.split("phrase", " ")))
-    parts = cut(often.filter(F.col("size") < WORDS), "parts")
-    two = _scored(parts.filter("size = 2").select("lang", "phrase", F.col("f").alias("a")), parts.filter("size = 1"), (1,))
-    three = cut(often.filter(F.col("size") == WORDS).select("lang", "phrase", F.col("f").alias("a")), "triples")
+    often = phrases(chunks).filter(F.col("f") >= least)
+    parts = cut(often.withColumn("size", F.size(F.split("phrase", " "))), "parts")
+    pairs = parts.filter("size = 2").select("lang", "phrase")
+    two = _scored(parts.filter("size = 2").select("lang", "phrase", F.col("f").alias("a")), parts, (1,))
+    three = phrases(chunks, bit_table(pairs)).filter(F.col("f") >= least)
+    three = cut(three.select("lang", "phrase", F.col("f").alias("a")), "triples")
     words = F.split("phrase", " ")
     around = three.select("lang", "a", F.explode(F.array(F.array_join(F.slice(words, 1, 2), " "), F.array_join(F.slice(words, 2, 2), " "))).alias("phrase"))
     covers = small_side(cut(around.groupBy("lang", "phrase").agg(F.max("a").alias("longer")), "covers"))

@@ -120,8 +120,8 @@ def test_collocations_of_documents(documents):
 def test_chunks_hold_every_phrase_once():
     words = [f"w{k * k % 37}" for k in range(300)]
     for trigger, most in ((1, 9), (4, 128), (12, 5)):
-        parser, got = collocations.Parser(trigger, most), Counter()
-        found = parser.chunks(words)
+        got = Counter()
+        found = collocations.chunks_of(words, collocations.Triggers(trigger), most)
         assert sum(own for own, _ in found) == len(words)
         for own, chunk in found:
             part = chunk.split(" ")
