@@ -13,13 +13,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ringledger.functions.ranking import ranked
@@ -35,8 +35,8 @@ TRIGGER, MOST = 12, 128
 #: A candidate goes when a longer one around it has at least this share of its count, in hundredths.
 COVERED = 50
 
-#: Entries that a task adds up before it hands them on.
-HELD = 400_000
+#: Chunks that a task adds up before it hands them on, and bytes of chunks that it counts at once.
+HELD, RUN_BYTES = 400_000, 12 << 20
 
 #: Bits of the hash of a frequent phrase: the table of bits has 2 to this power, 16 MB. More phrases than that would
 #: only make it pass more.
@@ -109,34 +109,87 @@ def _dictionary(held: dict[tuple[str, int, str], int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array([*held.values()], pa.int64())], ["lang", "own", "chunk", "times"])
 
 
+def _tally(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes and the sums of their weights."""
+    if not len(codes):
+        return codes, weights
+    order = np.argsort(codes)
+    codes = codes[order]
+    starts = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
+    return codes[starts], np.add.reduceat(weights[order], starts)
+
+
+def _joined(names: pa.Array, *ids: np.ndarray) -> pa.Array:
+    return pc.binary_join_element_wise(*(names.take(pa.array(x)) for x in ids), " ") if len(ids) > 1 else names.take(pa.array(ids[0]))
+
+
+def _checksums(names: pa.Array) -> np.ndarray:
+    return np.array([zlib.crc32(x.encode()) for x in names.to_pylist()], np.int64)
+
+
+def _counted(run: pa.Table, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Phrases of a run of chunks with their sums. Words are numbers here, at most 24 bits of them in a run; so are languages, 15 bits."""
+    tongue = run["lang"].combine_chunks().dictionary_encode()
+    if len(tongue.dictionary) > 1 << 15:
+        half = run.num_rows // 2
+        yield from _counted(run.slice(0, half), bits)
+        yield from _counted(run.slice(half), bits)
+        return
+    split = pc.split_pattern(run["chunk"].combine_chunks(), " ")
+    sizes = split.value_lengths().to_numpy()
+    words = split.flatten().dictionary_encode()
+    ids, names = words.indices.to_numpy().astype(np.int64), words.dictionary
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    left = np.repeat(sizes, sizes) - place
+    inside = place < np.repeat(run["own"].to_numpy(), sizes)
+    times = np.repeat(run["times"].to_numpy(), sizes)
+    langs = np.repeat(tongue.indices.to_numpy().astype(np.int64), sizes)
+    low = (1 << 24) - 1
+
+    def batch(lang: np.ndarray, phrase: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([tongue.dictionary.take(pa.array(lang)), phrase, pa.array(sums)], ["lang", "phrase", "f"])
+
+    if bits is None:
+        at = np.flatnonzero(inside)
+        codes, sums = _tally(langs[at] << 48 | ids[at], times[at])
+        yield batch(codes >> 48, _joined(names, codes & low), sums)
+        at = np.flatnonzero(inside & (left > 1))
+        codes, sums = _tally(langs[at] << 48 | ids[at] << 24 | ids[at + 1], times[at])
+        yield batch(codes >> 48, _joined(names, codes >> 24 & low, codes & low), sums)
+        return
+    at = np.flatnonzero(left > 1)
+    sums_of = _checksums(names)
+    slot = _slot(_checksums(tongue.dictionary)[langs[at]], sums_of[ids[at]], sums_of[ids[at + 1]]) & ((1 << BITS) - 1)
+    often = np.zeros(len(ids) + 1, bool)
+    often[at] = bits[slot >> 3] >> (slot & 7).astype(np.uint8) & 1
+    at = np.flatnonzero(inside & (left > 2) & often[:-1] & often[1:])
+    pairs, which = np.unique(langs[at] << 48 | ids[at] << 24 | ids[at + 1], return_inverse=True)
+    codes, sums = _tally(which.astype(np.int64) << 24 | ids[at + 2], times[at])
+    first = pairs[codes >> 24]
+    yield batch(first >> 48, _joined(names, first >> 24 & low, first & low, codes & low), sums)
+
+
+def _slot(lang, first, second):  # noqa: ANN001, ANN202
+    """The place of a two-word phrase in the table of bits, from checksums, before it is cut to BITS; for numbers and columns."""
+    mixed = lang * 506952113 + first * 367774315 + second * 472591075
+    return F.shiftright(mixed, 24) if isinstance(mixed, Column) else mixed >> 24
+
+
 def phrases(chunks: DataFrame, bits: Broadcast | None = None) -> DataFrame:
     """``lang``, ``phrase`` and ``f``: how often phrases occur, from distinct chunks: those of one and two words or,
     with ``bits``, those of three whose first and last two words are in that table."""
 
     def task(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter[str]] = {}
-        table = None if bits is None else bits.value
-        for batch, values in batches(found, text="chunk"):
-            for lang, own, times, chunk in zip(*(batch.column(c).to_pylist() for c in ("lang", "own", "times")), values, strict=True):
-                words = chunk.split(" ")
-                pairs = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
-                if table is None:
-                    listed = words[:own] + pairs[:own]
-                else:
-                    base = zlib.crc32(f"{lang}\0".encode())
-                    places = [zlib.crc32(x.encode(), base) >> (32 - BITS) for x in pairs]
-                    often = [table[p >> 3] >> (p & 7) & 1 for p in places]
-                    listed = [f"{pairs[k]} {words[k + 2]}" for k in range(min(own, len(words) - 2)) if often[k] and often[k + 1]]
-                counts = held.setdefault(lang, Counter())
-                if times == 1:
-                    counts.update(listed)
-                else:
-                    for phrase in listed:
-                        counts[phrase] += times
-            if sum(map(len, held.values())) > HELD:
-                yield _phrases(held)
-                held = {}
-        yield _phrases(held)
+        table = None if bits is None else np.frombuffer(bits.value, np.uint8)
+        held, size = [], 0
+        for batch in found:
+            held.append(batch)
+            size += batch.nbytes
+            if size > RUN_BYTES:
+                yield from _counted(pa.Table.from_batches(held), table)
+                held, size = [], 0
+        if held:
+            yield from _counted(pa.Table.from_batches(held), table)
 
     counted = map_arrow(chunks, lambda: task, "lang string, phrase string, f long")
     return counted.groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
@@ -144,21 +197,15 @@ def phrases(chunks: DataFrame, bits: Broadcast | None = None) -> DataFrame:
 
 def bit_table(pairs: DataFrame) -> Broadcast:
     """The table of bits of ``pairs`` (lang, phrase), 16 MB at every size of the input, for all tasks."""
-    place = F.shiftright(F.crc32(F.concat_ws("\0", "lang", "phrase").cast("binary")), 32 - BITS)
-    words = pairs.select(place.alias("place")).groupBy(F.floor(F.col("place") / 64).cast("int").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("word"))
+    crc = [F.crc32(x.cast("binary")) for x in (F.col("lang"), F.split("phrase", " ")[0], F.split("phrase", " ")[1])]
+    slots = pairs.select(_slot(*crc).bitwiseAND(F.lit((1 << BITS) - 1)).alias("slot"))
+    words = slots.groupBy(F.floor(F.col("slot") / 64).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(slot % 64 as int)))").alias("word"))
     found = words.toArrow()
     table = np.zeros((1 << BITS) // 64, "<i8")
     table[found.column("at").to_numpy()] = found.column("word").to_numpy()
     return pairs.sparkSession.sparkContext.broadcast(table.tobytes())
 
 
-def _phrases(held: dict[str, Counter[str]]) -> pa.RecordBatch:
-    langs = [lang for lang, counts in held.items() for _ in counts]
-    names = [x for counts in held.values() for x in counts]
-    sums = [n for counts in held.values() for n in counts.values()]
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(names, pa.string()), pa.array(sums, pa.int64())], ["lang", "phrase", "f"])
-
-
 def _scored(found: DataFrame, parts: DataFrame, cuts: tuple[int, ...]) -> DataFrame:
     """``found`` (lang, phrase, a) with the counts ``l`` and ``r`` of its lowest-scoring cut and that score.
 
