@@ -26,10 +26,10 @@ from ringledger.llm.rows import batches, map_arrow, texts
 MARK = "▁"
 
 #: Pre-tokens that a task adds up before it hands them on, and their characters.
-HELD, HELD_CHARS = 400_000, 16 << 20
+HELD, HELD_CHARS = 600_000, 16 << 20
 
-#: Frequent pre-tokens at most, and characters of one at most: what reaches every task is below 8 MB.
-FREQUENT, FREQUENT_CHARS = 50_000, 32
+#: Frequent pre-tokens at most, and characters of one at most: what reaches every task is below 30 MB.
+FREQUENT, FREQUENT_CHARS = 200_000, 32
 
 #: Texts with more tokens than this are over the limit.
 LIMIT = 4096
