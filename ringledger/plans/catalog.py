@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from ringledger.schema import (
     MAX_VISITED,
     OPERATOR_BOARDS,
     SUBSCRIBER_BOARDS,
+    SUBSCRIBER_COUNTERS,
     SUGGESTIONS,
 )
 from ringledger.sources import exports, files, lines
@@ -644,14 +646,84 @@ def stream_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def sampled_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sample of a store's totals, taken twice in a second."""
+    """A sample of a store's totals and inventory, taken twice in a second."""
     store = Store(spark, fresh_path(spark, "store"))
     feed = fresh_path(spark, "feed")
     files.write_files(lines.to_lines(event_records(spark, sf_dir)), feed)
     store.sample(1_000)
     ingest.ingest_files(spark, feed, store)
     store.sample(1_000)
-    return store.samples().drop("keys")
+    return store.samples()
+
+
+@query
+def quiet_feed_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples by the clock while nothing is fed: what they all say, and the highest rate."""
+    store = _streamed(spark, sf_dir)
+    clock = ingest.sample_by_clock(store, fresh_path(spark, "clock"), 1)
+    try:
+        while store.samples().count() < 3 and clock.exception() is None:
+            clock.awaitTermination(1)
+    finally:
+        clock.stop()
+    held = cut(store.samples(), "samples")
+    now = held.agg(F.max("ts")).first()[0]
+    rates = series.series(held, "records:rate", "24h", now, 1)
+    said = held.drop("ts").distinct()
+    return said.withColumn("rate", rates.agg(F.max("value")).scalar())
+
+
+class _Faulty(Store):
+    """A store whose first manifest row is lost after the deltas were written."""
+
+    failed = False
+
+    def _commit(self, row: DataFrame, at: str) -> None:
+        if not self.failed:
+            self.failed = True
+            raise OSError("the manifest could not be written")
+        super()._commit(row, at)
+
+
+@query
+def replayed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of feeds whose batch failed between its deltas and its manifest row, and was
+    replayed from the checkpoint; as files and as messages."""
+    feed, bodies = fresh_path(spark, "feed"), fresh_path(spark, "bodies")
+    rows = cut(lines.to_lines(event_records(spark, sf_dir)), "lines")
+    files.write_files(rows, feed)
+    rows.write.option("lineSep", "\n").text(bodies)
+    found = None
+    for kind in ("files", "messages"):
+        store, checkpoint = _Faulty(spark, fresh_path(spark, "store")), fresh_path(spark, "offsets")
+
+        def run() -> None:
+            if kind == "files":
+                stream = ingest.ingest_file_stream(spark, feed, store, checkpoint)  # noqa: B023
+            else:
+                messages = spark.readStream.option("lineSep", "\n").text(bodies)
+                stream = ingest.ingest_stream(messages, store, checkpoint)  # noqa: B023
+            stream.awaitTermination()
+
+        try:
+            run()
+        except StreamingQueryException:
+            run()
+        one = store.totals().withColumn("feed", F.lit(kind))
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+@query
+def live_subscriber_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subscriber counters as a running aggregate that was stopped half-way and went on."""
+    feed, out, checkpoint = (fresh_path(spark, x) for x in ("feed", "live", "offsets"))
+    schema = ", ".join(["msisdn BIGINT", *(f"{c} BIGINT" for c in SUBSCRIBER_COUNTERS)])
+    for records in _voice_and_rest(spark, sf_dir):
+        lines.to_lines(records).write.mode("append").option("lineSep", "\n").text(feed)
+        view = ingest.live_subscribers(spark.readStream.option("lineSep", "\n").text(feed))
+        ingest.live_table(view, out, checkpoint).awaitTermination()
+    return ingest.read_live(spark, out, schema, ["msisdn"])
 
 
 # --- files and formats -------------------------------------------------------------------------

@@ -436,7 +436,9 @@ FROM cdr WHERE event_type = 'error'""",
         "run_totals": _with(_CDR) + f"SELECT {_TOTAL_COLUMNS} FROM cdr WHERE usage IN ('MOC', 'MTC')",
         "restarted_totals": _with(_CDR, _TOTALS) + "SELECT * FROM totals",
         "stream_bodies": _with(_CDR, _KEPT) + "SELECT count(*) AS parsed FROM kept",
-        "sampled_store": _with(_CDR, _TOTALS) + "SELECT CAST(1000 AS BIGINT) AS ts, * FROM totals",
+        "replayed_totals": _with(_CDR, _TOTALS)
+        + "SELECT *, unnest(['files', 'messages']) AS feed FROM totals",
+        "live_subscriber_usage": _with(_CDR, _SUB) + "SELECT * FROM sub",
         "written_files": _with(_CDR)
         + "SELECT count(*) AS declared, true AS headed, count(*) AS read_back FROM cdr",
         "export_read_back": _ALL_BOARDS
@@ -471,6 +473,10 @@ UNION ALL SELECT 'totals', least(count(*), 1) FROM cdr
 UNION ALL SELECT 'progress', least(count(*), 1) FROM cdr)
 """
     sql["store_keys"] = keys + "SELECT kind, CAST(keys AS BIGINT) AS keys FROM keys"
+    held = f"(SELECT CAST(sum(keys) AS BIGINT) FROM keys) AS keys, {_TOTAL_COLUMNS}"
+    # Records that come in as files have the name of their file as source, so there is progress.
+    sql["sampled_store"] = keys + f"SELECT CAST(1000 AS BIGINT) AS ts, {held} FROM cdr"
+    sql["quiet_feed_samples"] = keys + f"SELECT {held}, CAST(0 AS DOUBLE) AS rate FROM cdr"
     sql["health"] = keys + f"""SELECT 'ok' AS status, 'up' AS store,
 CAST(sum(keys) AS BIGINT) AS keys, {MAX_HOPS} AS "max-hops", {MAX_VISITED} AS "max-visited"
 FROM keys"""

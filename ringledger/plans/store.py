@@ -8,6 +8,7 @@ suppression happens on the sums. Boards are views and are not stored.
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from concurrent.futures import ThreadPoolExecutor
@@ -18,17 +19,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ringledger.functions.columns import present, sums
-from ringledger.functions.workspace import cut, delete_paths, scratch
-from ringledger.operators import series
+from ringledger.functions.columns import plus, present, sums
+from ringledger.functions.workspace import cut, delete_paths, only, scratch
 from ringledger.operators.boards import all_boards
 from ringledger.operators.counters import merge_totals
 from ringledger.operators.lookups import store_keys
 from ringledger.schema import (
     LINK_COUNTERS,
+    OPERATOR_BOARDS,
     OPERATOR_COUNTERS,
     RETENTION_DAYS,
     SAMPLE_COLUMNS,
+    SUBSCRIBER_BOARDS,
     SUBSCRIBER_COUNTERS,
     TOTAL_COUNTERS,
 )
@@ -61,6 +63,23 @@ _MANIFEST = (
     "run_id STRING, replaces ARRAY<STRUCT<stream_id: STRING, batch_id: BIGINT>>, " + _BATCH
 )
 
+#: How the stream ids of compactions begin.
+COMPACTED = "compact-"
+
+
+def _column(board: str) -> str:
+    return "board_" + board.replace("-", "_")
+
+
+#: Kinds whose keys the inventory counts: the key, the counters that make it present, its boards.
+_KEYED = {
+    "subscribers": ("msisdn", SUBSCRIBER_COUNTERS, SUBSCRIBER_BOARDS),
+    "operators": ("mccmnc", OPERATOR_COUNTERS, OPERATOR_BOARDS),
+    "links": ("owner", LINK_COUNTERS, {}),
+}
+_BOARD_COLUMNS = tuple(_column(b) for b in (*SUBSCRIBER_BOARDS, *OPERATOR_BOARDS))
+_STEPS = _schema({"step": "BIGINT"}, (*TOTAL_COUNTERS, *_KEYED, *_BOARD_COLUMNS, "progress"))
+
 
 class Store:
     """The tables below one root folder, which every executor must reach."""
@@ -68,6 +87,7 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._advancing = threading.RLock()
 
     # --- writing -----------------------------------------------------------------------
 
@@ -95,18 +115,22 @@ class Store:
             retired = F.array().cast("array<struct<stream_id:string,batch_id:bigint>>")
         else:
             retired = replaces.agg(F.collect_list(F.struct("stream_id", "batch_id"))).scalar()
-        row.select("run_id", retired.alias("replaces")).write.mode("overwrite").parquet(
-            f"{self.root}/manifest/{at}"
-        )
+        self._commit(row.select("run_id", retired.alias("replaces")), at)
+
+    def _commit(self, row: DataFrame, at: str) -> None:
+        """Write the manifest row that makes a batch count."""
+        row.write.mode("overwrite").parquet(f"{self.root}/manifest/{at}")
 
     def compact(self) -> None:
         """Fold the counters of all live batches into one. The new manifest row retires them in
         the same write that publishes their sum. Totals stay apart by run. Rejects and file
-        outcomes are not touched, and samples have their own :meth:`sweep_samples`.
+        outcomes are not touched, and samples have their own :meth:`sweep_samples`. Running
+        totals take in what is new first, so they never need a retired batch.
 
         Subscribers and links are laid out in ranges of their keys, so a lookup skips row
         groups and an owner with many links is spread over several files.
         """
+        self.advance()
         with scratch(self.spark):
             live = cut(self._live(), "live")
             frames = {
@@ -121,7 +145,7 @@ class Store:
                 "progress": self._progress(live),
                 "accounts": self._summed("accounts", ["source"], ("parsed", "rejected"), live),
             }
-            self.publish(frames, f"compact-{uuid.uuid4().hex}", 0, replaces=live)
+            self.publish(frames, f"{COMPACTED}{uuid.uuid4().hex}", 0, replaces=live)
 
     # --- published batches ---------------------------------------------------------------
 
@@ -229,18 +253,79 @@ class Store:
             self.subscribers(), self.operators(), self.links(), self.totals(), self.progress()
         )
 
+    # --- running totals ----------------------------------------------------------------------
+
+    def _new_batches(self) -> DataFrame:
+        """Published batches that no step of the running totals has taken in. A compaction
+        brings nothing new."""
+        done = self._read("running/steps", _STEPS).select("step")
+        covered = self._read("running/covered", f"{_BATCH}, step BIGINT").join(done, "step", "left_semi")
+        fed = self._manifest().filter(~F.col("stream_id").startswith(COMPACTED))
+        return fed.select("stream_id", "batch_id").join(covered, ["stream_id", "batch_id"], "left_anti")
+
+    def _last_step(self) -> dict[str, int]:
+        rows = self._read("running/steps", _STEPS)
+        row = rows.orderBy(F.desc("step")).limit(1).collect()
+        return row[0].asDict() if row else dict.fromkeys(rows.columns, 0)
+
+    def _fresh_keys(self, kind: str, key: str, counters: tuple[str, ...], new: DataFrame) -> DataFrame:
+        """Keys with something counted in the new batches and in none before."""
+        rows = present(self._deltas(kind, new), counters)
+        held = cut(rows.select(F.col(key).cast("bigint").alias("key")).distinct(), "keys")
+        known = self._read(f"running/known/{kind}", "key BIGINT, step BIGINT")
+        done = self._read("running/steps", _STEPS).select("step")
+        seen = only(known.join(done, "step", "left_semi"), held, "key").select("key")
+        return held.join(seen, "key", "left_anti")
+
+    def advance(self) -> dict[str, int]:
+        """Running totals and inventory after taking in all batches published since the last
+        step; nothing is read again of the others but their keys.
+
+        A step is a prefix sum: its row holds the sums so far, so the last row answers. Counters
+        never fall, so a key or board that counts once counts for ever. The keys first seen in a
+        step and the batches that it took in are tables by step, written before its row; without
+        that row they do not count, and the next attempt overwrites them. One process at a time
+        may advance a store; its threads wait for each other.
+        """
+        with self._advancing, scratch(self.spark):
+            last = self._last_step()
+            new = cut(self._new_batches(), "new-batches")
+            if new.isEmpty():
+                return last
+            step = last["step"] + 1
+            state = {"step": step}
+            sums_of = merge_totals(self._deltas("totals", new).select(*TOTAL_COUNTERS)).first()
+            for name in TOTAL_COUNTERS:
+                state[name] = last[name] + sums_of[name]
+            for kind, (key, counters, boards) in _KEYED.items():
+                at = f"{self.root}/running/known/{kind}/step={step}"
+                self._fresh_keys(kind, key, counters, new).write.mode("overwrite").parquet(at)
+                state[kind] = last[kind] + self.spark.read.schema("key BIGINT").parquet(at).count()
+                if boards:
+                    filled = [F.coalesce(F.max(plus(c) > 0), F.lit(False)).cast("bigint").alias(_column(b)) for b, c in boards.items()]
+                    found = self._deltas(kind, new).agg(*filled).first()
+                    state |= {_column(b): max(last[_column(b)], found[_column(b)]) for b in boards}
+            state["progress"] = max(last["progress"], int(not self._deltas("progress", new).isEmpty()))
+            new.write.mode("overwrite").parquet(f"{self.root}/running/covered/step={step}")
+            row = self.spark.range(1).select(*[F.lit(state[c]).cast("bigint").alias(c) for c in state if c != "step"])
+            row.coalesce(1).write.mode("overwrite").parquet(f"{self.root}/running/steps/step={step}")
+            return state
+
     def sample(self, ts: int | None = None) -> None:
         """Take a sample of the totals now. The later one of the same second stays.
 
         Samples are rows of a table of their own, by day: they are no batches, and reading
-        counters never lists them.
+        counters never lists them. A sample reads the batches since the last one only.
         """
+        state = self.advance()
         taken_at = time.time_ns()
         ts = taken_at // 1_000_000_000 if ts is None else ts
-        row = series.take_sample(self.totals(), self.keys(), ts)
-        row.coalesce(1).withColumns(
-            {"taken_at": F.lit(taken_at), "day": F.floor(F.col("ts") / _DAY).cast("int")}
-        ).write.mode("append").partitionBy("day").parquet(f"{self.root}/samples")
+        keys = sum(state[c] for c in (*_KEYED, *_BOARD_COLUMNS, "progress")) + int(state["records"] > 0)
+        values = {"ts": ts, "taken_at": taken_at, "keys": keys} | {c: state[c] for c in TOTAL_COUNTERS}
+        row = self.spark.range(1).select(*[F.lit(v).cast("bigint").alias(c) for c, v in values.items()])
+        row.withColumn("day", F.floor(F.col("ts") / _DAY).cast("int")).coalesce(1).write.mode(
+            "append"
+        ).partitionBy("day").parquet(f"{self.root}/samples")
 
     def sweep_samples(self, now: int | None = None, days: int = RETENTION_DAYS) -> None:
         """Delete the days of samples that lie wholly past retention."""

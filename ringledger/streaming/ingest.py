@@ -125,8 +125,10 @@ def stream_identity(spark: SparkSession, checkpoint: str) -> str:
     return made
 
 
-def _start(stream: DataFrame, fold, checkpoint: str, every: str | None, name: str | None):
-    writer = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint)
+def _start(
+    stream: DataFrame, fold, checkpoint: str, every: str | None, name: str | None, mode: str = "append"
+):
+    writer = stream.writeStream.outputMode(mode).foreachBatch(fold).option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
     writer = writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)
@@ -195,6 +197,46 @@ class _Sampler:
             self.last = time.time()
 
 
+def sample_by_clock(
+    store: Store, checkpoint: str, seconds: float, name: str | None = None
+) -> StreamingQuery:
+    """Sample a store every so many seconds, whether or not anything is fed to it.
+
+    A stream of its own: Spark's clock source ticks, and each trigger takes one sample. It runs
+    beside any number of feeds, in this process or another one's checkpoint, until it is stopped.
+    A tick repeated after a failure samples the moment at which it is repeated.
+    """
+    clock = store.spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+
+    def tick(_: DataFrame, __: int) -> None:
+        store.sample()
+
+    return _start(clock, tick, checkpoint, f"{seconds} seconds", name)
+
+
+def live_table(
+    view: DataFrame, path: str, checkpoint: str, every: str | None = None
+) -> StreamingQuery:
+    """Keep a running aggregate below ``path``: each micro-batch writes the rows that changed.
+
+    Sums live in the state of the checkpoint, so a restart goes on from them. A micro-batch that
+    is repeated overwrites its own rows.
+    """
+
+    def write(rows: DataFrame, batch_id: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/update={batch_id}")
+
+    return _start(view, write, checkpoint, every, None, "update")
+
+
+def read_live(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
+    """The last row written for each key of a live table."""
+    rows = spark.read.schema(f"{schema}, update BIGINT").parquet(path)
+    values = [c for c in rows.columns if c not in (*keys, "update")]
+    newest = F.max_by(F.struct(*values), "update").alias("v")
+    return rows.groupBy(*keys).agg(newest).select(*keys, "v.*")
+
+
 def live_totals(stream: DataFrame, body: str = "value", **options) -> DataFrame:
     """Totals of a stream of lines as a running aggregate, for a sink in complete mode."""
     lines = stream.select(F.col(body).cast("string").alias("value"))

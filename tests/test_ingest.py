@@ -291,3 +291,39 @@ def test_empty_files_have_an_outcome(spark, store, tmp_path):
     ingest.ingest_files(spark, path, store)
     assert {r.source: r.ok for r in store.files().collect()} == {"a.cdr": True, "e.cdr": False}
     assert store.totals().first().records == 1
+
+
+def test_a_sample_reads_new_batches_only(spark, store, tmp_path):
+    """Running totals go on when the deltas of earlier batches are gone."""
+    ingest.ingest_files(spark, write(tmp_path / "a", "a.cdr", [1, 2, 3]), store)
+    store.sample(1_000)
+    first = [str(p) for kind in ("subscribers", "operators", "links", "totals") for p in (tmp_path / "store" / "deltas" / kind).glob("stream_id=*")]
+    other = line(VOICE_FIELDS, sequence=9, msisdn=SUB + 5, peer_msisdn=SUB + 6)
+    (tmp_path / "b").mkdir()
+    (tmp_path / "b" / "b.cdr").write_text(f"CDR|csv|2\n{other}\n{line(VOICE_FIELDS, sequence=10)}\n")
+    ingest.ingest_files(spark, str(tmp_path / "b"), store)
+    every = sum(r["keys"] for r in store.keys().collect())
+    assert len(first) == 4
+    workspace.delete_paths(spark, first)
+    store.sample(2_000)
+    samples = {r.ts: r for r in store.samples().collect()}
+    assert (samples[1_000].records, samples[2_000].records) == (3, 5)
+    assert samples[2_000]["keys"] == every > samples[1_000]["keys"]
+
+
+def test_running_totals_survive_compaction_and_a_lost_step(spark, store, tmp_path):
+    assert store.advance()["records"] == 0
+    ingest.ingest_files(spark, write(tmp_path / "a", "a.cdr", [1, 2, 3]), store)
+    # What an attempt without its last row has left does not count and is overwritten.
+    left = f"{store.root}/running"
+    spark.sql(f"SELECT {SUB} AS key").write.parquet(f"{left}/known/subscribers/step=1")
+    spark.sql("SELECT 'x' AS stream_id, 0L AS batch_id").write.parquet(f"{left}/covered/step=1")
+    store.compact()
+    assert store.advance() == store.advance()
+    ingest.ingest_files(spark, write(tmp_path / "b", "b.cdr", [4, 5]), store)
+    state = store.advance()
+    assert state["step"] == 2 and {c: state[c] for c in ("records", "data_rx")} == {c: store.totals().first()[c] for c in ("records", "data_rx")}
+    kinds = {r["kind"]: r["keys"] for r in store.keys().collect()}
+    assert [state[k] for k in ("subscribers", "operators", "links")] == [kinds[k] for k in ("subscribers", "operators", "links")]
+    store.sample(3)
+    assert store.samples().first()["keys"] == sum(kinds.values())
