@@ -603,6 +603,40 @@ def ingested_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.links()
 
 
+@query
+def file_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes of good, headless, empty and unreadable files, and the records that count, of a
+    batch and of a stream."""
+    feed = fresh_path(spark, "feeds")
+    files.write_files(_damaged_lines(spark, sf_dir), f"{feed}/good")
+    rows = lines.to_lines(event_records(spark, sf_dir))
+    rows.write.option("lineSep", "\n").text(f"{feed}/headless")
+    rows.limit(0).write.text(f"{feed}/empty")
+    _damage(spark, f"{feed}/unreadable")
+    found = None
+    for way in ("batch", "stream"):
+        store = Store(spark, fresh_path(spark, "store"))
+        if way == "batch":
+            ingest.ingest_files(spark, f"{feed}/*", store)
+        else:
+            checkpoint = fresh_path(spark, "offsets")
+            ingest.ingest_file_stream(spark, f"{feed}/*", store, checkpoint).awaitTermination()
+        kind = F.element_at(F.split("file_path", "/"), -2).alias("kind")
+        one = store.files().groupBy(kind).agg(F.bool_and("ok").alias("ok"), F.bool_or("ok").alias("any_ok"))
+        one = one.withColumns({"way": F.lit(way), "records": store.totals().select("records").scalar()})
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
+def _damage(spark: SparkSession, folder: str) -> None:
+    """Put a file below ``folder`` that says it is compressed and is not."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/broken.gz")
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(at)
+    out.write(bytearray(b"CDR|csv|1 in plain text"))
+    out.close()
+
+
 @query
 def run_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals of one of two runs that one store took, after compaction."""

@@ -436,6 +436,10 @@ FROM cdr WHERE event_type = 'error'""",
         "run_totals": _with(_CDR) + f"SELECT {_TOTAL_COLUMNS} FROM cdr WHERE usage IN ('MOC', 'MTC')",
         "restarted_totals": _with(_CDR, _TOTALS) + "SELECT * FROM totals",
         "stream_bodies": _with(_CDR, _KEPT) + "SELECT count(*) AS parsed FROM kept",
+        "file_outcomes": _with(_CDR, _KEPT)
+        + """SELECT way, kind, kind = 'good' AS ok, kind = 'good' AS any_ok,
+  (SELECT count(*) FROM kept) AS records
+FROM (SELECT unnest(['good', 'headless', 'empty', 'unreadable']) AS kind), (SELECT unnest(['batch', 'stream']) AS way)""",
         "replayed_totals": _with(_CDR, _TOTALS)
         + "SELECT *, unnest(['files', 'messages']) AS feed FROM totals",
         "live_subscriber_usage": _with(_CDR, _SUB) + "SELECT * FROM sub",

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -57,6 +60,98 @@ def stream_files(
     return _with_origin(reader.text(path))
 
 
+def listed(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Every file below ``path`` that is not empty: ``path`` to read it by, and ``file_path`` and
+    ``source`` as in scanned lines. The listing is rows; no content is read."""
+    return _listing(spark.read.format("binaryFile").load(path))
+
+
+def _listing(found: DataFrame) -> DataFrame:
+    return found.select(
+        "path",
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_name").alias("source"),
+    )
+
+
+#: What a listing could read of each file; only the path is.
+_BINARY = "path STRING, modificationTime TIMESTAMP, length BIGINT, content BINARY"
+
+
+def stream_listing(
+    spark: SparkSession,
+    path: str,
+    max_files: int | None = None,
+    glob: str | None = None,
+    archive: str | None = None,
+) -> DataFrame:
+    """As :func:`listed`, for files that keep arriving, the present ones included. The
+    checkpoint knows the names that were seen.
+
+    ``archive`` moves files there once their micro-batch is committed.
+    """
+    reader = spark.readStream.format("binaryFile").schema(_BINARY)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    if archive:
+        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
+    return _listing(reader.load(path))
+
+
+def literal_path(path: str) -> str:
+    """A path whose pattern characters stand for themselves."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def unreadable(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The files among ``paths`` that cannot be read to their end.
+
+    Asked only once a read of them all has failed. A half that can be read is done with;
+    the other is halved again, so few bad files among many cost few reads.
+    """
+    try:
+        spark.read.text([literal_path(p) for p in paths]).write.format("noop").mode("overwrite").save()
+    except (PySparkException, Py4JJavaError):
+        if len(paths) == 1:
+            return paths
+        half = len(paths) // 2
+        return unreadable(spark, paths[:half]) + unreadable(spark, paths[half:])
+    return []
+
+
+_LINES = "value STRING, source STRING, file_path STRING, file_size BIGINT, head_id BIGINT"
+
+
+def stage_files(
+    spark: SparkSession, path: str | list[str], record_format: str, fields: Sequence[str], **options
+) -> tuple[DataFrame, DataFrame]:
+    """The staged lines of all files that can be read, and the outcomes of the unreadable ones.
+
+    A file that fails half-way leaves no line. Names reach the driver only where a read failed.
+    """
+
+    def staged(lines: DataFrame) -> DataFrame:
+        return stage(lines, record_format, fields, **options)
+
+    nothing = spark.createDataFrame([], _LINES)
+    if not path:
+        return staged(nothing), _failed(nothing)
+    try:
+        return staged(scan_files(spark, path)), _failed(nothing)
+    except (PySparkException, Py4JJavaError):
+        files = cut(listed(spark, path), "listing")
+        names = [r.path for r in files.select("path").collect()]
+        bad = unreadable(spark, names)
+        if not bad:
+            raise
+        good = [literal_path(p) for p in names if p not in set(bad)]
+        found = staged(scan_files(spark, good) if good else nothing)
+        named = small_side(spark.createDataFrame([(p,) for p in bad], "path string"))
+        return found, _failed(files.join(named, "path", "left_semi"))
+
+
 def stage(
     lines: DataFrame,
     record_format: str = "csv",
@@ -116,27 +211,32 @@ def header_status(lines: DataFrame) -> DataFrame:
     return cut(status, "headers")
 
 
-def empty_files(spark: SparkSession, path: str | list[str], status: DataFrame) -> DataFrame:
-    """Files that hold no line at all, failed.
+def _failed(files: DataFrame) -> DataFrame:
+    """Outcomes of listed files that leave no line."""
+    return files.select(
+        "file_path",
+        "source",
+        F.lit(False).alias("ok"),
+        F.lit(None).cast("string").alias("format"),
+        F.lit(None).cast("decimal(20,0)").alias("declared_count"),
+    )
+
+
+def empty_files(
+    spark: SparkSession, path: str | list[str], known: DataFrame, glob: str | None = None
+) -> DataFrame:
+    """Files below ``path`` that hold no line at all, failed; ``known`` has the others by ``file_path``.
 
     No reader hands out empty files, so their names come from Spark's own file listing, which
     the driver holds for every read anyway: one name per file, whatever the files hold. It may
     write a path with other slashes after its scheme than the rows do.
     """
-    names = spark.read.text(path).inputFiles()
-    listed = spark.createDataFrame([(n,) for n in names], "file_path string")
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    names = reader.text(path).inputFiles()
+    found = spark.createDataFrame([(n,) for n in names], "file_path string")
     plain = F.regexp_replace("file_path", "^([a-zA-Z0-9+.-]+):/+", "$1:/").alias("_plain")
-    return (
-        listed.select("file_path", plain)
-        .join(status.select(plain), "_plain", "left_anti")
-        .select(
-            "file_path",
-            F.element_at(F.split("file_path", "/"), -1).alias("source"),
-            F.lit(False).alias("ok"),
-            F.lit(None).cast("string").alias("format"),
-            F.lit(None).cast("decimal(20,0)").alias("declared_count"),
-        )
-    )
+    rows = found.select("file_path", plain).join(known.select(plain), "_plain", "left_anti")
+    return _failed(rows.withColumn("source", F.element_at(F.split("file_path", "/"), -1)))
 
 
 def file_report(spark: SparkSession, path: str | list[str], status: DataFrame) -> DataFrame:

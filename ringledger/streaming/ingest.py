@@ -1,6 +1,6 @@
 """Record files and message bodies into a store, in batch or as a stream.
 
-Both go through :func:`fold_files` or :func:`fold_bodies`, so they give the same tables. A
+Both go through :func:`fold_paths` or :func:`fold_bodies`, so they give the same tables. A
 stream writes each micro-batch under the identity kept in its checkpoint; repeated after a
 failure it overwrites its own deltas, and once published it is skipped.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ringledger.functions.workspace import cut, scratch
+from ringledger.functions.workspace import cut, only, scratch
 from ringledger.operators import counters
 from ringledger.plans.store import Store
 from ringledger.sources import files
@@ -64,15 +64,51 @@ def fold_files(
         return
     with scratch(store.spark):
         staged = files.stage(lines, record_format, _FIELDS, **options)
-        status = cut(files.with_marks(files.header_status(staged), store.progress()), "files")
-        status = files.running_marks(staged, status)
-        rows = files.admitted(staged, status).withColumn(
-            "counted", F.col("reject_reason").isNull() & files.not_applied()
-        )
-        listed = status.select("file_path", "source", "ok", "format", "declared_count")
-        if path is not None:
-            listed = files.file_report(store.spark, path, status)
-        store.publish(_tables(rows, run_id) | {"files": listed}, stream_id, batch_id, run_id)
+        lost = None if path is None else files.empty_files(store.spark, path, staged.select("file_path").distinct())
+        _fold(store, staged, lost, stream_id, batch_id, run_id)
+
+
+def fold_paths(
+    store: Store,
+    path: str | list[str],
+    stream_id: str,
+    batch_id: int,
+    run_id: str = "",
+    record_format: str = "csv",
+    watched: tuple[str, str | None] | None = None,
+    **options,
+) -> None:
+    """Fold the files below ``path`` as one batch. Every file gets its outcome: empty ones and
+    ones that cannot be read fail alone, and the others count; see :func:`fold_files`.
+
+    ``watched`` is the folder of a stream and its name filter, where ``path`` has the new files
+    that are not empty; empty ones are looked for there, and those without an outcome so far get it.
+    """
+    if store.is_published(stream_id, batch_id):
+        return
+    spark = store.spark
+    with scratch(spark):
+        staged, lost = files.stage_files(spark, path, record_format, _FIELDS, **options)
+        if watched is None:
+            empty = files.empty_files(spark, path, files.listed(spark, path))
+        else:
+            empty = cut(files.empty_files(spark, watched[0], files.listed(spark, watched[0]), watched[1]), "empty")
+            empty = empty.join(only(store.files(), empty, "file_path"), "file_path", "left_anti")
+        _fold(store, staged, lost.unionByName(empty), stream_id, batch_id, run_id)
+
+
+def _fold(
+    store: Store, staged: DataFrame, lost: DataFrame | None, stream_id: str, batch_id: int, run_id: str
+) -> None:
+    status = cut(files.with_marks(files.header_status(staged), store.progress()), "files")
+    status = files.running_marks(staged, status)
+    rows = files.admitted(staged, status).withColumn(
+        "counted", F.col("reject_reason").isNull() & files.not_applied()
+    )
+    outcomes = status.select("file_path", "source", "ok", "format", "declared_count")
+    if lost is not None:
+        outcomes = outcomes.unionByName(lost)
+    store.publish(_tables(rows, run_id) | {"files": outcomes}, stream_id, batch_id, run_id)
 
 
 def fold_bodies(
@@ -103,9 +139,8 @@ def fold_bodies(
 def ingest_files(
     spark: SparkSession, path: str | list[str], store: Store, run_id: str = "", **options
 ) -> None:
-    """Fold all files below ``path`` as one batch. Empty files get their outcome too."""
-    lines = files.scan_files(spark, path)
-    fold_files(store, lines, uuid.uuid4().hex, 0, run_id, path=path, **options)
+    """Fold all files below ``path`` as one batch; see :func:`fold_paths`."""
+    fold_paths(store, path, uuid.uuid4().hex, 0, run_id, **options)
 
 
 # --- streams --------------------------------------------------------------------------------
@@ -150,15 +185,21 @@ def ingest_file_stream(
     **options,
 ) -> StreamingQuery:
     """Keep folding files as they arrive. Without ``every`` it stops when all present files
-    are folded. ``sample_seconds`` takes a sample after a batch when that long has passed."""
+    are folded. ``sample_seconds`` takes a sample after a batch when that long has passed; see
+    :func:`sample_by_clock` for samples that need no batch.
+
+    What streams is the listing, so a file that cannot be read is a row like any other and does
+    not hold up the rest; a new empty file, which is no row, still makes a micro-batch. The names of a micro-batch, at most ``max_files``, pass
+    through the driver, which lists them for any read."""
     stream_id = stream_identity(spark, checkpoint)
     sampled = _Sampler(store, sample_seconds)
 
     def fold(batch: DataFrame, batch_id: int) -> None:
-        fold_files(store, files.numbered(batch), stream_id, batch_id, run_id, **options)
+        names = [files.literal_path(r.path) for r in batch.select("path").collect()]
+        fold_paths(store, names, stream_id, batch_id, run_id, watched=(path, glob), **options)
         sampled()
 
-    stream = files.stream_files(spark, path, max_files, glob, archive)
+    stream = files.stream_listing(spark, path, max_files, glob, archive)
     return _start(stream, fold, checkpoint, every, name)
 
 
