@@ -4,6 +4,7 @@ import re
 import zlib
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -214,3 +215,14 @@ def test_groups_meet_every_near_pair_once(words):
         for word, count, _, _ in variants.met(group) if len(group) > 1 else ():
             near[word] += count
     assert {w: near[w] for w in words} == {w: sum(one_edit(w, x) for x in words) for w in words}
+
+
+def test_more_languages_than_a_run_numbers():
+    """A run with too many languages is halved, and counts stay whole."""
+    n = 40_000
+    run = pa.table({"lang": pa.array([str(k % (n - 1)) for k in range(n)]), "own": pa.array([2] * n, pa.int32()), "chunk": ["a b"] * n, "times": pa.array([3] * n, pa.int64())})
+    got = Counter()
+    for batch in collocations._counted(run, None):
+        for row in batch.to_pylist():
+            got[(row["lang"], row["phrase"])] += row["f"]
+    assert got == Counter({(str(k), phrase): 6 if not k else 3 for k in range(n - 1) for phrase in ("a", "b", "a b")})
