@@ -11,6 +11,10 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
+import sys
+import types
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -174,6 +178,29 @@ class Codec:
         return b" ".join(map(self.names.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+#: Vocabulary files whose codecs a Python worker keeps; the one used longest ago goes first.
+CODECS = 2
+
+
+def worker_codec(vocabulary: str) -> Codec:
+    """The codec of a vocabulary file, opened once in each Python worker and kept, with the words it knows, for later tasks.
+
+    This package's functions come with each task anew, so its own globals would last for one task only;
+    what is kept lies in a module of the interpreter. A file that has changed is opened again. At most
+    ``CODECS`` files are kept, and each codec bounds what it remembers.
+    """
+    kept = sys.modules.setdefault("_worker_codecs", types.ModuleType("_worker_codecs"))
+    held: OrderedDict = vars(kept).setdefault("held", OrderedDict())
+    state = os.stat(vocabulary)
+    key = (os.path.realpath(vocabulary), state.st_size, state.st_mtime_ns)
+    if key not in held:
+        held[key] = Codec(vocabulary)
+        if len(held) > CODECS:
+            held.popitem(last=False)
+    held.move_to_end(key)
+    return held[key]
+
+
 def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id``, ``ids`` (little-endian unsigned 32-bit) and ``decoded`` of every text; null counts as empty.
 
@@ -184,7 +211,7 @@ def encoded(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def task(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = worker_codec(path)
         for batch, values in batches(found):
             ids = codec.encode(values)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary()), pa.array([codec.decode(x).decode() for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
@@ -197,7 +224,7 @@ def digests(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     path = vocabulary or default_vocabulary()
 
     def task(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
+        codec = worker_codec(path)
         for batch, values in batches(found):
             ids = codec.encode(values)
             columns = [[len(x) // 4 for x in ids], [hashlib.sha256(x).hexdigest() for x in ids], [hashlib.sha256(codec.decode(x)).hexdigest() for x in ids]]

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringledger.functions.workspace import cut
-from ringledger.llm.bpe import Codec
+from ringledger.llm.bpe import worker_codec
 from ringledger.llm.rows import batches, map_arrow, texts
 from ringledger.llm.tokens import default_vocabulary, packed
 
@@ -40,7 +40,7 @@ def pieces(docs: DataFrame, limit: int = LIMIT, vocabulary: str | None = None, s
     path, end = vocabulary or default_vocabulary(), packed([separator])
 
     def task(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, part, counts = Codec(path), TaskContext.get().partitionId(), [0] * (limit + 1)
+        codec, part, counts = worker_codec(path), TaskContext.get().partitionId(), [0] * (limit + 1)
         for batch, values in batches(found):
             out: list[list] = [[] for _ in range(7)]
             for doc, ids in zip(batch.column("doc_id").to_pylist(), codec.encode(values), strict=True):

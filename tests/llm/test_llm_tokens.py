@@ -121,3 +121,22 @@ def test_pair_index_merges_overlaps_from_the_left(codec, library):
     words = ["aaaa", "aaaaa", "ababab", "thethe"]
     got = [np.frombuffer(x, "<u4").tolist() for x in codec.index.words([x.encode() for x in words])]
     assert got == [library.encode(x, add_special_tokens=False).ids for x in words]
+
+
+def test_codecs_are_kept_and_bounded(tmp_path):
+    """A file that has changed is opened again; only so many files are kept; what was learned changes no ids."""
+    data = open(default_vocabulary(), encoding="utf-8").read()
+    paths = [str(tmp_path / f"{k}.json") for k in range(bpe.CODECS + 1)]
+    for path in paths:
+        with open(path, "w", encoding="utf-8") as file:
+            file.write(data)
+    first = bpe.worker_codec(paths[0])
+    assert bpe.worker_codec(paths[0]) is first
+    assert first.encode(TEXTS) == first.encode(TEXTS[::-1])[::-1] == bpe.Codec(paths[0]).encode(TEXTS)
+    with open(paths[0], "a", encoding="utf-8") as file:
+        file.write("\n")
+    again = bpe.worker_codec(paths[0])
+    assert again is not first
+    for path in paths[1:]:
+        bpe.worker_codec(path)
+    assert bpe.worker_codec(paths[0]) is not again
