@@ -53,6 +53,40 @@ def test_bounds_hold():
         assert (up @ a.T + down @ c.T <= true).all() and (up @ b.T + down @ d.T >= true).all()
 
 
+def test_reading_stops_where_outsiders_cannot_qualify():
+    rng = np.random.default_rng(7)
+    # A few vectors stand out in every list, so half a list settles the question.
+    x = rng.integers(0, 10, (400, 8)).astype(float)
+    x[:5] += 100
+    block, left = topk.Block(np.arange(400), x), np.ones((3, 400), bool)
+    depths = block.survivors(left, rng.integers(1, 9, (3, 8)).astype(float), 5, np.full(3, -np.inf))
+    assert (depths == 200).all() and (np.flatnonzero(left.any(axis=0)) == np.arange(5)).all() and left.sum() == 15
+    # Ties at the edge of the k best are read to the end, and none of them is lost.
+    flat, left = topk.Block(np.arange(40), np.ones((40, 3))), np.ones((1, 40), bool)
+    assert flat.survivors(left, np.ones((1, 3)), 5, np.full(1, -np.inf)) == 40 and left.all()
+
+
+def test_no_answer_is_pruned(monkeypatch):
+    rng = np.random.default_rng(11)
+    x, q = rng.integers(-40, 40, (500, 12)).astype(float), rng.integers(-40, 40, (30, 12)).astype(float)
+    for dense in (0.0, 0.125, 2.0):
+        monkeypatch.setattr(topk, "DENSE", dense)
+        block, left = topk.Block(np.arange(500), x), np.ones((30, 500), bool)
+        depths = block.survivors(left, q, 20, np.full(30, -np.inf))
+        scores = q @ x.T
+        for row, own in zip(left, scores, strict=True):
+            assert row[own >= np.sort(own)[-20]].all()
+        assert (left.sum(axis=1) <= 25).all() and (depths < 500).any()
+
+
+def test_repeated_ids(spark):
+    rows = [(20, [1.0, 0.0]), (20, [1.0, 0.0]), (20, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    frame = topk.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    got = sorted(tuple(r) for r in topk.top_k(frame, frame.filter("vec_id % 20 = 0")).collect())
+    # Two queries: the repeated row once, the other vector of the id for itself.
+    assert got == sorted([(20, 1, 1, 4096), (20, 2, 2, 0), (20, 3, 20, 0), (20, 1, 2, 4096), (20, 2, 1, 0), (20, 3, 20, 0)])
+
+
 def test_top_k_of_nothing(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, block int, span string")
     assert topk.every_twentieth(none).count() == 0
