@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,6 +61,65 @@ def ranked(
     )
 
 
+#: Ranges that the span of scores is cut into in each round, and the rows that may be sorted at once.
+RANGES, SORTED = 4096, 100_000
+
+
+def page_rows(
+    df: DataFrame, score: str, ties: Sequence[Column], offset: int, limit: int, name: str = "position"
+) -> DataFrame:
+    """Rows ``offset`` to ``offset + limit`` of ``df`` by ``score`` descending, then ``ties``, with
+    their position. Only the part that holds the page is ever sorted.
+
+    Counts for equal ranges of scores tell which range the first and the last row of the page lie
+    in; each is cut again until it has few rows or one score. At most ``RANGES`` counts reach the
+    driver for each round, and a round narrows the range ``RANGES`` times, so 64-bit scores take six
+    rounds at most. ``score`` is a whole number without nulls, of a span below 2**63; ``ties`` and it name each row
+    uniquely. A page past the end is empty.
+    """
+    bounds = df.agg(F.min(score), F.max(score)).first()
+    if bounds[0] is None or limit <= 0:
+        return df.limit(0).withColumn(name, F.lit(0).cast("bigint"))
+    low, high = int(bounds[0]), int(bounds[1])
+    first = _range_of(df, score, low, high, offset)
+    if first is None:
+        return df.limit(0).withColumn(name, F.lit(0).cast("bigint"))
+    last = _range_of(df, score, low, high, offset + limit - 1)
+    least, before = last[0] if last else low, first[2]
+    part = df.filter(F.col(score).between(least, first[1]))
+    # Positions inside the part go through the split ranking: one score may be shared by very many.
+    own = ranked(part.withColumn("_all", F.lit(0)), ["_all"], [F.desc(score), *ties], name)
+    place = F.col(name) + before
+    return own.drop("_all").withColumn(name, place.cast("bigint")).filter(
+        (F.col(name) > offset) & (F.col(name) <= offset + limit)
+    )
+
+
+def _range_of(
+    df: DataFrame, score: str, low: int, high: int, place: int
+) -> tuple[int, int, int] | None:
+    """A range of scores that holds the row at ``place`` (from 0, highest first), as its lowest and
+    highest score and the number of rows above it; None past the end."""
+    before = 0
+    while True:
+        width = -(-(high - low + 1) // RANGES)
+        step = F.expr(f"({high}L - `{score}`) div {width}L")
+        rows = df.filter(F.col(score).between(low, high))
+        counts = sorted(rows.groupBy(step.cast("int").alias("step")).count().collect())
+        ends, total = [], before
+        for row in counts:
+            total += row["count"]
+            ends.append(total)
+        at = bisect_right(ends, place)
+        if at == len(ends):
+            return None
+        before = ends[at] - counts[at]["count"]
+        top = high - counts[at]["step"] * width
+        low, high = max(low, top - width + 1), top
+        if low == high or counts[at]["count"] <= SORTED:
+            return low, high, before
+
+
 def page_bounds(
     offset: int | None, limit: int | None, default: int, cap: int | None = None
 ) -> tuple[int, int]:

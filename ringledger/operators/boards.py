@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ringledger.functions.columns import id_text, plus, ratio
-from ringledger.functions.ranking import page_bounds, ranked
+from ringledger.functions.ranking import page_bounds, page_rows, ranked
 from ringledger.functions.workspace import cut
 from ringledger.schema import OPERATOR_BOARDS, SUBSCRIBER_BOARDS, TOP_LIMIT, TOP_LIMIT_MAX
 
@@ -51,15 +51,17 @@ def board_page(
 ) -> DataFrame:
     """A page of one board with positions: score, then id text, both descending.
 
-    A limit of 0 is the whole board. Then, and for long pages, positions come from the split
-    ranking, since no task can hold them.
+    A limit of 0 is the rest of the board; positions then come from the split ranking of all of
+    it. Long and deep pages find the scores that hold them by counts and rank only these.
     """
     offset, limit = page_bounds(offset, limit, TOP_LIMIT)
     descending = [F.desc(c) for c in _ORDER]
-    if limit == 0 or offset + limit > TOP_LIMIT_MAX:
+    if limit == 0:
         rows = board_positions(entries).filter(F.col("position") > offset)
-        rows = rows.filter(F.col("position") <= offset + limit) if limit else rows
         return rows.select("position", "id", "score")
+    if offset + limit > TOP_LIMIT_MAX:
+        held = cut(entries, "board")
+        return page_rows(held, "score", [F.desc("id")], offset, limit).select("position", "id", "score")
     page = entries.orderBy(*descending).offset(offset).limit(limit)
     place = F.row_number().over(Window.partitionBy("board").orderBy(*descending))
     return page.select((place + offset).cast("bigint").alias("position"), "id", "score")

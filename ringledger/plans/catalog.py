@@ -138,6 +138,12 @@ def board_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boards.board_positions(_all_boards(spark, sf_dir))
 
 
+@query
+def board_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A long page that starts below the first entries."""
+    return boards.board_page(_board(spark, sf_dir, "voice"), 40, 600)
+
+
 @query
 def board_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _all_boards(spark, sf_dir).groupBy("board").agg(F.count("*").alias("count"))

@@ -8,6 +8,7 @@ import pytest
 from helpers import record, records_df
 
 from ringledger.functions.columns import as_json
+from ringledger.functions import ranking
 from ringledger.functions.ranking import ranked, top_per_group
 from ringledger.operators import boards, contacts, counters, documents, lookups, summary
 from ringledger.schema import LINK_COUNTERS, OPERATOR_COUNTERS, SUBSCRIBER_COUNTERS, TOTAL_COUNTERS
@@ -88,6 +89,25 @@ def test_leader_share_is_of_the_page(spark):
     assert [s.of_leader for s in shares] == [1.0, 0.5]
 
 
+def test_deep_pages_sort_only_what_holds_them(spark, monkeypatch):
+    """Spread and tied scores, pages across range ends and past the last row, against a plain sort."""
+    rng = random.Random(5)
+    rows = [(str(i), rng.choice([7, 7, 7, rng.randrange(1, 60), rng.randrange(1, 1 << 62)])) for i in range(900)]
+    entries = spark.createDataFrame(rows, "id string, score bigint").repartition(4).cache()
+    expected = sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)
+    monkeypatch.setattr(ranking, "RANGES", 8)
+    monkeypatch.setattr(ranking, "SORTED", 20)
+    sorted_rows = []
+    plain = ranking.ranked
+    monkeypatch.setattr(ranking, "ranked", lambda df, *a: sorted_rows.append(df.count()) or plain(df, *a))
+    for offset, limit in [(0, 5), (130, 40), (890, 30), (899, 1), (900, 5), (0, 0)]:
+        got = ranking.page_rows(entries, "score", [F.desc("id")], offset, limit).orderBy("position").collect()
+        assert [(r.position, r.id, r.score) for r in got] == [(n + 1, *expected[n]) for n in range(900)[offset : offset + limit]]
+    assert sorted_rows[0] <= 25 and len(sorted_rows) == 4
+    none = entries.filter("false")
+    assert ranking.page_rows(none, "score", [F.desc("id")], 0, 5).count() == 0
+
+
 def test_ranking_of_a_hot_group_is_split_and_exact(spark):
     """One group holds most rows; positions still match a plain sort."""
     rng = random.Random(3)
