@@ -141,7 +141,7 @@ def board_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def board_deep_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A long page that starts below the first entries."""
-    return boards.board_page(_board(spark, sf_dir, "voice"), 40, 600)
+    return boards.board_page(_board(spark, sf_dir, "voice"), 5, 600)
 
 
 @query

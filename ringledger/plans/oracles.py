@@ -447,7 +447,7 @@ FROM (SELECT unnest(['good', 'headless', 'empty', 'unreadable']) AS kind), (SELE
         + "SELECT count(*) AS declared, true AS headed, count(*) AS read_back FROM cdr",
         "board_deep_page": _ALL_BOARDS
         + "SELECT position, id, score FROM placed "
-        "WHERE board = 'voice' AND position > 40 AND position <= 640",
+        "WHERE board = 'voice' AND position > 5 AND position <= 605",
         "export_read_back": _ALL_BOARDS
         + "SELECT position, id, score FROM placed WHERE board = 'voice'",
         "parse_other_separator": _with(_CDR, _TOTALS) + "SELECT * FROM totals",
