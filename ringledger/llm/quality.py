@@ -206,15 +206,23 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are predicted good, with all their columns and whole texts."""
+    """The rows of ``docs`` that are predicted good, with all their columns and whole texts.
+
+    Nulls, empty texts and missing metadata columns are as in :func:`scored`; repeated rows are judged alike. Without
+    labels of both kinds every row stays.
+    """
     model = train(docs, labels)
     if model is None:
         return docs
+    lacking = [c for c in ("source", "lang", "n_chars") if c not in docs.columns]
 
     def task(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content = ContentView()
         for batch, values in batches(found):
-            keep = pa.array(model.scores(*_views(batch, values, content))[2] >= 0.5)
+            known = batch
+            for name in lacking:
+                known = known.append_column(name, pa.nulls(len(values)))
+            keep = pa.array(model.scores(*_views(known, values, content))[2] >= 0.5)
             yield batch.filter(keep)
 
     return map_arrow(docs, lambda: task, docs.schema)

@@ -96,3 +96,10 @@ def test_shapes_are_of_whole_words():
     assert quality.shape("a" * 70 + "9") == "a0" and quality.shape("a1" * 20) == "a0" * 20
     view = quality.ContentView()
     assert (view.read("\u6f22" * 5000) != view.read("\u6f22" * 5000 + "A9!" * 5000)).any()
+
+
+def test_good_rows_without_metadata_columns(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    kept = sorted(r[0] for r in quality.keep_good(docs, labels).select("doc_id").collect())
+    assert kept == sorted(r["doc_id"] for r in quality.scored(docs, labels).collect() if r["predicted"] == 1) and kept
