@@ -1,12 +1,16 @@
-"""Near copies by exact Jaccard of five-word shingles.
-
-Texts whose shingle sets agree in at least ``LEAST`` of their union are near copies. Candidates are texts that
-agree in all minima of a band of hash orders; each candidate link is confirmed on the two shingle sets. Equal
-texts are one node before that. Links first go from each text to the one that shares most band keys with
-others, as the text that copies were made from does, so that a large group of copies costs one pair for each text.
-What no link has joined by then is keyed anew, by the rarest shingles of each text among the texts still open: two
-near copies share one of these for certain, while texts that only share a common passage do not. Then the new keys
-are swept: each sets all its members against a few centres, which then leave the key, until no key holds two groups.
+"""Near copies by SimHash, confirmed by the exact Jaccard of five-word shingles.
+
+Texts whose shingle sets agree in at least ``LEAST`` of their union are near copies. Each text has a SimHash of its
+shingle set; an index in Gray order gathers the texts whose fingerprints lie within ``BITS`` bits, and each text meets
+one of those gathered with it. Texts at the least Jaccard lie up to some 20 bits apart, where no index of 64 bits is
+selective, so an exact search follows for what this has not joined: candidates agree in all minima of a band of hash
+orders. Each candidate link is confirmed on the two shingle sets. Equal texts are one node before that. Links go from
+each text to the one that shares most keys with others, as the text that copies were made from does, so that a large
+group of copies costs one pair for each text. What no link has joined by then is keyed anew, by the rarest shingles of
+each text among the texts still open: two near copies share one of these for certain, while texts that only share a
+common passage do not. Then the new keys are swept: each sets all its members against a few centres, which then leave
+the key, until no key holds two groups. A sweep drops pairs whose marks, 1024 bits of parity, show too many shingles
+that only one of them has.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ from pyspark.sql import functions as F
 
 from ringledger.functions.workspace import cut
 from ringledger.llm.components import components
+from ringledger.llm.gray import links as close_links
+from ringledger.llm.gray import majority
 from ringledger.llm.rows import batches, map_arrow
 
 #: Words of a shingle, the seed of its hash, and the least Jaccard of near copies.
@@ -31,8 +37,14 @@ WORDS, SEED, LEAST = 5, 42, Fraction(4, 5)
 #: Bands, and minima in each: a pair at the least Jaccard meets in no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, 1.3e-7.
 BANDS, ROWS = 40, 5
 
-#: Rounds of one link for each text, before the sweeps.
-STARS = 2
+#: Bits in which the fingerprints of texts gathered by the index may differ, and bits that its groups leave free at most.
+BITS, FREE = 3, 24
+
+#: Rounds of one link for each text, before the sweeps; the first is by SimHash.
+STARS = 3
+
+#: Longs that hold the marks of a shingle set, 64 in each.
+MARKS = 16
 
 #: Centres of a key in the first sweep; each sweep takes ``MORE`` times as many as the one before, ``CENTRES`` at most.
 FIRST, MORE, CENTRES = 4, 4, 512
@@ -95,7 +107,7 @@ def fresh(batch: pa.RecordBatch, seen: set[bytes]) -> pa.RecordBatch:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """``node``, ``size`` (of its shingle set) and ``keys`` of every text that is not blank, once for each task that reads it."""
+    """``node``, ``size`` (of its shingle set), ``bits`` (its SimHash as a signed long) and ``keys`` of every text that is not blank, once for each task that reads it."""
 
     def build():  # noqa: ANN202
         seen: set[bytes] = set()
@@ -107,12 +119,13 @@ def sketches(docs: DataFrame) -> DataFrame:
                     sets = [shingles(x) for x in values]
                     keep = [k for k, x in enumerate(sets) if len(x)]
                     node = batch.column("node").take(pa.array(keep, pa.int64()))
+                    bits = pa.array(np.array([majority(sets[k]) for k in keep], np.uint64).view(np.int64))
                     keys = pa.array([band_keys(sets[k], factors) for k in keep], pa.list_(pa.int64()))
-                    yield pa.RecordBatch.from_arrays([node, pa.array([len(sets[k]) for k in keep], pa.int64()), keys], ["node", "size", "keys"])
+                    yield pa.RecordBatch.from_arrays([node, pa.array([len(sets[k]) for k in keep], pa.int64()), bits, keys], ["node", "size", "bits", "keys"])
 
         return task
 
-    return map_arrow(noded(docs), build, "node binary, size long, keys array<long>")
+    return map_arrow(noded(docs), build, "node binary, size long, bits long, keys array<long>")
 
 
 def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -152,8 +165,22 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_arrow(both.select("left", "right", "left_text", "right_text"), build, "left binary, right binary")
 
 
+def gathered(found: DataFrame) -> DataFrame:
+    """``node``, ``size``, ``short`` and ``key``: what links of at most ``BITS`` bits between the fingerprints of ``found`` (node, size, bits) connect has one key."""
+    values = cut(found.select("bits").distinct(), "values")
+    roots = cut(components(close_links(values, "bits", BITS, FREE), "left", "right"), "simhash-roots")
+    rooted = found.join(roots.select(F.col("node").alias("bits"), "root"), "bits", "left")
+    return rooted.select("node", "size", F.lit(True).alias("short"), F.coalesce("root", "bits").alias("key"))
+
+
+def shared(keyed: DataFrame) -> DataFrame:
+    """The rows of ``keyed`` (key, node) whose key another node has too, each once."""
+    some = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
+    return keyed.join(some, "key", "left_semi").distinct()
+
+
 def rare_keys(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``key`` (a shingle), ``node``, ``size`` and ``short``: for each of ``nodes`` (distinct) the rarest of its shingles that others have too.
+    """``key`` (a shingle), ``node``, ``size``, ``short`` and ``marks``: for each of ``nodes`` (distinct) the rarest of its shingles that others have too.
 
     A set of n shingles that has a Jaccard of at least ``LEAST`` with another shares one of its n - ceil(LEAST * n) + 1
     rarest shingles with that one's, in whatever order all sets agree on; here by the number of ``nodes`` that hold it,
@@ -184,7 +211,22 @@ def rare_keys(texts: DataFrame, nodes: DataFrame) -> DataFrame:
         return (F.col("size") + 1 - F.col("nth")) * share.denominator >= F.col("size") * share.numerator
 
     ordered = each.join(held, "key").withColumn("nth", nth).filter(within(LEAST))
-    return ordered.select("key", "node", "size", within(2 * LEAST / (1 + LEAST)).alias("short"))
+    short = ordered.select("key", "node", "size", within(2 * LEAST / (1 + LEAST)).alias("short"))
+    return short.join(marked(each), "node").select("key", "node", "size", "short", "marks")
+
+
+def marked(each: DataFrame) -> DataFrame:
+    """``node`` and ``marks`` of shingle sets (node, key): 64 * ``MARKS`` bits, each the parity of the shingles that fall on it."""
+    bit = F.expr("shiftleft(1L, CAST(key & 63 AS INT))")
+    at = F.shiftright("key", 6).bitwiseAND(F.lit(MARKS - 1))
+    return each.groupBy("node").agg(F.array(*(F.coalesce(F.bit_xor(F.when(at == k, bit)), F.lit(0)).cast("long") for k in range(MARKS))).alias("marks"))
+
+
+def within_marks(size: Column, marks: Column, other_size: Column, other_marks: Column) -> Column:
+    """Whether sets of such sizes and marks can be near copies. A shingle that only one of them has changes one bit,
+    so bits that differ are no more than those shingles, of which near copies have (1 - LEAST) / (1 + LEAST) of both sizes at most."""
+    differ = sum((F.bit_count(marks[k].bitwiseXOR(other_marks[k])) for k in range(MARKS)), F.lit(0))
+    return differ * (LEAST.denominator + LEAST.numerator) <= (size + other_size) * (LEAST.denominator - LEAST.numerator)
 
 
 def alike(a: Column, b: Column) -> Column:
@@ -200,14 +242,16 @@ def groups(docs: DataFrame) -> DataFrame:
     """
     found = cut(sketches(docs), "sketches")
     keyed = found.select("node", "size", F.lit(True).alias("short"), F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    members = cut(keyed.join(shared, "key", "left_semi").distinct(), "members")
-    members = cut(weighed(members), "weighed")
-    texts = cut(texts_of(docs, members.select("node").distinct()), "texts")
+    banded = cut(weighed(cut(shared(keyed), "banded")), "weighed")
+    near = shared(gathered(found)).join(banded.select("node", "weight").distinct(), "node", "left")
+    members = cut(near.withColumn("weight", F.coalesce("weight", F.lit(0))), "gathered")
+    texts = cut(texts_of(docs, banded.select("node").union(members.select("node")).distinct()), "texts")
     links, roots, centres, done = None, None, FIRST, 0
     while True:
+        if done == 1:
+            members = banded
         own = cut(still_open(members, roots), "open")
-        if roots is not None and own.isEmpty():
+        if done and own.isEmpty():
             return roots
         if done == STARS:
             members = cut(rare_keys(texts, own.select("node").distinct()), "rare")
@@ -229,10 +273,10 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def weighed(members: DataFrame) -> DataFrame:
-    """``members`` (key, node, size, short) with ``weight``: how often a node meets others, over all its keys."""
+    """``members`` (key, node, size, short and more) with ``weight``: how often a node meets others, over all its keys."""
     counts = members.groupBy("key").agg((F.count("*") - 1).alias("others"))
     weights = members.join(counts, "key").groupBy("node").agg(F.sum("others").alias("weight"))
-    return members.join(weights, "node").select("key", "node", "size", "short", "weight")
+    return members.join(weights, "node").select(*members.columns, "weight")
 
 
 def still_open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -242,7 +286,7 @@ def still_open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     else:
         own = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     still = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("short").alias("some")).filter("some AND low < high").select("key")
-    return own.join(still, "key", "left_semi").select("key", "node", "size", "short", "weight", "root")
+    return own.join(still, "key", "left_semi").select(*members.columns, "root")
 
 
 def star(own: DataFrame) -> DataFrame:
@@ -259,13 +303,14 @@ def centres_of(own: DataFrame, most: int) -> DataFrame:
 
 
 def sweep(own: DataFrame, middle: DataFrame) -> DataFrame:
-    """``left`` and ``right``: every member of a key with each of its centres that is in another group; a member smaller than the centre if short.
+    """``left`` and ``right``: every member of a key with each of its centres that is in another group and that sizes and marks allow; a member smaller than the centre if short.
 
     A key's centres have then met all that it holds, and may leave it: no pair is lost, and a sweep makes at most
     as many rows for each member as there are centres. Members that no link joins meet in later sweeps.
     """
-    b = middle.select("key", *(F.col(c).alias(f"c_{c}") for c in ("node", "size", "root")))
+    b = middle.select("key", *(F.col(c).alias(f"c_{c}") for c in ("node", "size", "root", "marks")))
     fits = alike(F.col("size"), F.col("c_size")) & (F.col("short") | (F.col("size") >= F.col("c_size")))
+    fits = fits & within_marks(F.col("size"), F.col("marks"), F.col("c_size"), F.col("c_marks"))
     met = own.join(b, "key").filter((F.col("root") != F.col("c_root")) & fits)
     return met.select(F.least("node", "c_node").alias("left"), F.greatest("node", "c_node").alias("right")).distinct()
 

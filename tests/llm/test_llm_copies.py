@@ -7,7 +7,7 @@ import pytest
 from test_llm_simhash import roots
 
 import corpus_pipeline
-from ringledger.llm import copies
+from ringledger.llm import copies, gray
 
 SCHEMA = "doc_id long, text string"
 
@@ -145,3 +145,40 @@ def test_rare_keys_lose_no_pair(spark):
             both = keys[a].keys() & keys[b].keys()
             met += any(keys[a][k] and (keys[b][k] or len(x) < len(y)) for k in both)
     assert near == met > 100 and b"alone" not in keys and b"blank" not in keys
+
+
+def test_the_first_round_meets_by_simhash(spark, monkeypatch):
+    """Texts whose five-word fingerprints lie within the index's bits meet there, and no others do."""
+    rng = random.Random(21)
+    bases = [["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)] for _ in range(30)]
+    texts = [" ".join(x) for x in bases] + [edited(x, {*rng.sample(range(400), 1 + k % 4)}, rng) for k, x in enumerate(bases)]
+    value = {t: gray.majority(copies.shingles(t)) for t in texts}
+    close = {frozenset(p) for p in itertools.combinations(texts, 2) if (value[p[0]] ^ value[p[1]]).bit_count() <= copies.BITS}
+    rounds, plain = [], copies.confirmed
+
+    def spy(pairs, found):
+        names = {r["node"]: r["text"] for r in found.select("node", "text").collect()}
+        rounds.append({frozenset((names[r["left"]], names[r["right"]])) for r in pairs.collect()})
+        return plain(pairs, found)
+
+    monkeypatch.setattr(copies, "confirmed", spy)
+    check(spark.createDataFrame(list(enumerate(texts)), SCHEMA))
+    assert 3 < len(close) < 30 and rounds[0] == close
+
+
+
+def with_edits(words, edits):
+    own = list(words)
+    for at, word in edits:
+        own[at] = word
+    return " ".join(own)
+
+
+def test_marks_drop_pairs_that_are_no_near_copies(spark, monkeypatch):
+    """Most pairs of these variants of one text are just no near copies; the sweeps compared 1,578 pairs of them before."""
+    rng = random.Random(22)
+    words = ["".join(rng.choices("mnopqrst", k=7)) for _ in range(300)]
+    edits = [(k, f"x{k}") for k in rng.sample(range(300), 24)]
+    texts = {with_edits(words, rng.sample(edits, 6)) for _ in range(80)}
+    counts = planned(spark.createDataFrame(list(enumerate(sorted(texts))), SCHEMA), monkeypatch)
+    assert sum(counts[copies.STARS :]) < 500
