@@ -40,10 +40,14 @@ def _length(column: pa.Array, at: int) -> int:
 
 
 def map_arrow(df: DataFrame, build: Callable[[], Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]], schema: str | StructType) -> DataFrame:
-    """``build()`` runs once in each task and gives the function over its batches."""
+    """``build()`` runs once in each task and gives the function over its batches.
+
+    Python workers outlive their tasks, so a task gives back what its batches have taken.
+    """
 
     def task(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from build()(found)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(task, schema)
 

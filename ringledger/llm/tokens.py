@@ -15,8 +15,8 @@ import sys
 from array import array
 from collections.abc import Callable
 
-#: Chunks that a task remembers; beyond that it starts anew.
-REMEMBERED = 400_000
+#: Chunks that a Python worker remembers, about 50 MB; beyond that it starts anew.
+REMEMBERED = 150_000
 
 #: Of these characters, case and white space are the same everywhere and NFC changes none.
 _ODD = re.compile("[^\t\n\r\x20-\x7e\xa1-ɏ]")
