@@ -168,7 +168,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def gathered(found: DataFrame) -> DataFrame:
     """``node``, ``size``, ``short`` and ``key``: what links of at most ``BITS`` bits between the fingerprints of ``found`` (node, size, bits) connect has one key."""
     values = cut(found.select("bits").distinct(), "values")
-    roots = cut(components(close_links(values, "bits", BITS, FREE), "left", "right"), "simhash-roots")
+    # A small file that the index spreads over its block choices: dealt to all tasks first.
+    dealt = values.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bits")
+    roots = cut(components(close_links(dealt, "bits", BITS, FREE), "left", "right"), "simhash-roots")
     rooted = found.join(roots.select(F.col("node").alias("bits"), "root"), "bits", "left")
     return rooted.select("node", "size", F.lit(True).alias("short"), F.coalesce("root", "bits").alias("key"))
 
