@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ringledger.llm.rows import batches, map_arrow, texts
-from ringledger.llm.tokens import REMEMBERED, ChunkIds, default_vocabulary, open_library
+from ringledger.llm.tokens import ChunkIds, default_vocabulary, kept, open_library
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -35,6 +35,10 @@ def byte_symbols() -> list[str]:
     return [chr(x) if x in shown else chr(256 + hidden.index(x)) for x in range(256)]
 
 
+#: What no list of ids holds.
+MARK = b"\xff" * 4
+
+
 class PairIndex:
     """Merges of a vocabulary file, applied to many words at once."""
 
@@ -121,7 +125,8 @@ class PairIndex:
             after[places] = following
             before[following] = places
             previous = before[places]
-            add(np.concatenate([self.ranks(symbol[previous], symbol[places]), self.ranks(symbol[places], symbol[following])]), np.concatenate([previous, places]))
+            made = np.full(len(places), c)
+            add(self.ranks(np.concatenate([symbol[previous], made]), np.concatenate([made, symbol[following]])), np.concatenate([previous, places]))
         alive = symbol[:n] >= 0
         stops = (4 * np.cumsum(alive)[ends - 1]).tolist()
         out = symbol[:n][alive].astype("<u4").tobytes()
@@ -133,7 +138,7 @@ class Codec:
 
     def __init__(self, vocabulary: str):
         self.library, self.index = open_library(vocabulary), PairIndex(vocabulary)
-        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+        self.pieces = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+|\n")
         self.specials = {x.content: i for i, x in self.library.get_added_tokens_decoder().items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
         self.bytes_of = {x: i for i, x in enumerate(byte_symbols())}
@@ -144,18 +149,19 @@ class Codec:
         for name, i in names.items():
             self.names[i] = name.encode()
 
-    def _words(self, found: set[str]) -> None:
-        """Learn the ids of these words."""
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        new = [*found.difference(self.known)]
+    def _words(self, found: list[str]) -> None:
+        """Learn the ids of these words (distinct)."""
+        new = [x for x in found if x not in self.known]
+        self.known = kept(self.known, found, len(new))
         self.known.update(zip(new, self.index.words([x.encode() for x in new]), strict=True))
 
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        split = [*map(self.pieces.findall, chunks)]
-        self._words(set().union(*split))
-        get = self.known.__getitem__
-        return [get(x[0]) if len(x) == 1 else b"".join(map(get, x)) for x in split]
+        # All at once, with a mark between chunks that no ids hold: lists for each would keep the garbage collector busy.
+        split = self.pieces.findall("\n".join(chunks))
+        words = dict.fromkeys(split)
+        words.pop("\n", None)
+        self._words([*words])
+        return b"".join(map((self.known | {"\n": MARK}).__getitem__, split)).split(MARK)
 
     def _odd(self, text: str) -> bytes:
         out = []

@@ -15,7 +15,11 @@ import sys
 from array import array
 from collections.abc import Callable
 
-#: Chunks that a Python worker remembers, about 50 MB; beyond that it starts anew.
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Chunks that a Python worker remembers, about 50 MB, or as many as the texts in hand hold; beyond that it keeps those of them.
 REMEMBERED = 150_000
 
 #: Of these characters, case and white space are the same everywhere and NFC changes none.
@@ -48,6 +52,11 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+def kept(known: dict[str, bytes], met: list[str], new: int) -> dict[str, bytes]:
+    """``known``, or where ``new`` more are too many for it, what it has of ``met``: frequent chunks are met again and again."""
+    return known if len(known) + new <= REMEMBERED else {x: known[x] for x in met if x in known}
+
+
 class ChunkIds:
     """Ids of texts as bytes. ``encode_chunks`` gives the ids of new chunks, ``encode_odd`` of an odd text."""
 
@@ -59,16 +68,31 @@ class ChunkIds:
     def plain(self, text: str) -> bool:
         return not (_ODD.search(text) or (self.special and self.special.search(text)))
 
-    def texts(self, found: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        split = [x.lower().split() if self.plain(x) else None for x in found]
-        new = set().union(*(x for x in split if x)).difference(self.known)
+    def _listed(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each of these chunks (distinct); those not remembered are encoded."""
+        # White space at an end of a text leaves an empty chunk, which has no ids.
+        self.known[""] = b""
+        new = [x for x in chunks if x not in self.known]
+        self.known = kept(self.known, chunks, len(new))
         if new:
-            listed = list(new)
-            self.known.update(zip(listed, self.encode_chunks(listed), strict=True))
-        get = self.known.__getitem__
-        return [self.encode_odd(x) if words is None else b"".join(map(get, words)) for x, words in zip(found, split, strict=True)]
+            self.known.update(zip(new, self.encode_chunks(new), strict=True))
+        return [*map(self.known.__getitem__, chunks)]
+
+    def texts(self, found: list[str]) -> list[bytes]:
+        plain = [*map(self.plain, found)]
+        split = pc.ascii_split_whitespace(pa.array([x.lower() for x, own in zip(found, plain, strict=True) if own], pa.large_string()))
+        words = split.flatten().dictionary_encode()
+        ids = self._listed(words.dictionary.to_pylist())
+        # The ids of every word, one after the other, from where they lie among those of the distinct chunks.
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        at = words.indices.to_numpy()
+        own = sizes[at]
+        ends = np.append(0, np.cumsum(own))
+        places = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], own)
+        flat = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
+        edges = (4 * ends[split.offsets.to_numpy()]).tolist()
+        out = map(flat.__getitem__, map(slice, edges[:-1], edges[1:]))
+        return [next(out) if own else self.encode_odd(x) for x, own in zip(found, plain, strict=True)]
 
 
 def library_ids(vocabulary: str) -> ChunkIds:

@@ -148,3 +148,20 @@ def test_a_worker_remembers_few_chunks():
     for k in range(0, 300_000, 10_000):
         ids.texts([" ".join(f"w{n}" for n in range(k, k + 10_000))])
     assert len(ids.known) <= 160_000
+
+
+def test_frequent_chunks_are_encoded_once():
+    """They were forgotten with the rare ones whenever the memory was full, and encoded again."""
+    encoded = Counter()
+    ids = ChunkIds([], lambda words: encoded.update(words) or [packed([len(x)]) for x in words], lambda text: b"")
+    for k in range(0, 400_000, 50_000):
+        rare = [f"w{n}" for n in range(k, k + 50_000)]
+        assert ids.texts([" ".join(["the", *rare, "of"])]) == [packed([3, *map(len, rare), 2])]
+        assert len(ids.known) <= 150_000 + 3
+    assert max(encoded.values()) == 1
+
+
+def test_texts_between_odd_blank_and_padded_ones(library, codec):
+    """Chunks of all plain texts are looked up at once: each text gets its own back, blank and odd ones too."""
+    for found in ([], [""], ["漢字"], ["漢字", " \t", " a  b\r\n", "", "it's 2nd", "漢 a", "b'll b'll "], ["\n", "x"]):
+        assert codec.encode(found) == [packed(library.encode(x, add_special_tokens=False).ids) for x in found]
