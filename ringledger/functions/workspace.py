@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -73,6 +73,17 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         _scratch.paths = outer
 
 
+def settled(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build()`` gives, written out and read back; the tables that it has cut on the way are deleted."""
+    with scratch(spark):
+        found = build()
+        path = fresh_path(spark, label)
+        found.write.parquet(path)
+    if getattr(_scratch, "paths", None) is not None:
+        _scratch.paths.append(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def delete_paths(spark: SparkSession, paths: list[str]) -> None:
     """Delete tables of this library by path, on whatever file system they are."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()

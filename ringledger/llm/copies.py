@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections import OrderedDict
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ringledger.functions.workspace import cut
+from ringledger.functions.workspace import cut, settled, small_side
 from ringledger.llm.components import components
 from ringledger.llm.gray import links as close_links
 from ringledger.llm.gray import majority
@@ -135,7 +136,7 @@ def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         seen: set[bytes] = set()
         return lambda found: (fresh(x, seen) for x in found)
 
-    return map_arrow(noded(docs), build, "node binary, text string").join(nodes, "node", "left_semi").dropDuplicates(["node"])
+    return map_arrow(noded(docs), build, "node binary, text string").join(small_side(nodes), "node", "left_semi").dropDuplicates(["node"])
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -160,8 +161,10 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
         return task
 
-    one = pairs.join(texts.select(F.col("node").alias("left"), F.col("text").alias("left_text")), "left")
-    both = one.join(texts.select(F.col("node").alias("right"), F.col("text").alias("right_text")), "right")
+    # Only the texts of these pairs are dealt out, not all.
+    own_texts = texts.join(small_side(pairs.select("left").union(pairs.select("right")).distinct().toDF("node")), "node", "left_semi")
+    one = pairs.join(own_texts.select(F.col("node").alias("left"), F.col("text").alias("left_text")), "left")
+    both = one.join(own_texts.select(F.col("node").alias("right"), F.col("text").alias("right_text")), "right")
     return map_arrow(both.select("left", "right", "left_text", "right_text"), build, "left binary, right binary")
 
 
@@ -170,15 +173,15 @@ def gathered(found: DataFrame) -> DataFrame:
     values = cut(found.select("bits").distinct(), "values")
     # A small file that the index spreads over its block choices: dealt to all tasks first.
     dealt = values.repartition(int(found.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bits")
-    roots = cut(components(close_links(dealt, "bits", BITS, FREE), "left", "right"), "simhash-roots")
+    roots = settled(found.sparkSession, "simhash-roots", partial(components, close_links(dealt, "bits", BITS, FREE), "left", "right"))
     rooted = found.join(roots.select(F.col("node").alias("bits"), "root"), "bits", "left")
     return rooted.select("node", "size", F.lit(True).alias("short"), F.coalesce("root", "bits").alias("key"))
 
 
 def shared(keyed: DataFrame) -> DataFrame:
-    """The rows of ``keyed`` (key, node) whose key another node has too, each once."""
-    some = keyed.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high").select("key")
-    return keyed.join(some, "key", "left_semi").distinct()
+    """The rows of ``keyed`` (key, node; each once) whose key another node has too. Few keys are shared: they are broadcast where they fit, so that only keys and counts are dealt out."""
+    some = cut(keyed.groupBy("key").agg(F.count("*").alias("nodes")).filter("nodes > 1").select("key"), "shared-keys")
+    return keyed.join(small_side(some), "key", "left_semi")
 
 
 def rare_keys(texts: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -204,7 +207,7 @@ def rare_keys(texts: DataFrame, nodes: DataFrame) -> DataFrame:
         return task
 
     each = cut(map_arrow(texts.join(nodes, "node", "left_semi").select("node", "text"), build, "node binary, size long, key long"), "shingles")
-    held = each.groupBy("key").agg(F.count("*").alias("holders")).filter("holders > 1")
+    held = cut(each.groupBy("key").agg(F.count("*").alias("holders")).filter("holders > 1"), "holders")
     own = Window.partitionBy("node")
     nth = F.row_number().over(own.orderBy("holders", "key")) + F.col("size") - F.count("*").over(own)
 
@@ -212,7 +215,7 @@ def rare_keys(texts: DataFrame, nodes: DataFrame) -> DataFrame:
         # nth <= size - ceil(share * size) + 1, in whole numbers
         return (F.col("size") + 1 - F.col("nth")) * share.denominator >= F.col("size") * share.numerator
 
-    ordered = each.join(held, "key").withColumn("nth", nth).filter(within(LEAST))
+    ordered = each.join(small_side(held), "key").withColumn("nth", nth).filter(within(LEAST))
     short = ordered.select("key", "node", "size", within(2 * LEAST / (1 + LEAST)).alias("short"))
     return short.join(marked(each), "node").select("key", "node", "size", "short", "marks")
 
@@ -242,7 +245,7 @@ def groups(docs: DataFrame) -> DataFrame:
     Null and blank texts, which have no shingles, are in no group here; equal texts are one node. An empty
     table has no groups.
     """
-    found = cut(sketches(docs), "sketches")
+    found = cut(sketches(docs).dropDuplicates(["node"]), "sketches")
     keyed = found.select("node", "size", F.lit(True).alias("short"), F.explode("keys").alias("key"))
     banded = cut(weighed(cut(shared(keyed), "banded")), "weighed")
     near = shared(gathered(found)).join(banded.select("node", "weight").distinct(), "node", "left")
@@ -268,9 +271,10 @@ def groups(docs: DataFrame) -> DataFrame:
             pairs = cut(sweep(own, middle), "pairs")
             members = cut(own.drop("root").join(middle.select("key", "node"), ["key", "node"], "left_anti"), "members")
             centres = min(CENTRES, centres * MORE)
-        new = confirmed(pairs, texts)
-        links = cut(new if links is None else links.union(new), "near-copies")
-        roots = cut(components(links, "left", "right"), "roots")
+        new = cut(confirmed(pairs, texts), "near-copies")
+        links = new if links is None else links.union(new)
+        if roots is None or not new.isEmpty():
+            roots = settled(docs.sparkSession, "roots", partial(components, links, "left", "right"))
         done += 1
 
 
@@ -286,7 +290,7 @@ def still_open(members: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         own = members.withColumn("root", F.col("node"))
     else:
-        own = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = members.join(small_side(roots), "node", "left").withColumn("root", F.coalesce("root", "node"))
     still = own.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("short").alias("some")).filter("some AND low < high").select("key")
     return own.join(still, "key", "left_semi").select(*members.columns, "root")
 
@@ -329,7 +333,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     )
     row = ["none", "id", "own"]
     rows = named.groupBy("own").agg(F.min(F.struct("none", "id")).alias("least"))
-    rows = rows.join(groups(docs), F.col("own") == F.col("node"), "left").withColumn("root", F.coalesce("root", "own"))
+    rooted = settled(docs.sparkSession, "near-copy-groups", partial(groups, docs))
+    rows = rows.join(rooted, F.col("own") == F.col("node"), "left").withColumn("root", F.coalesce("root", "own"))
     keep = cut(rows.groupBy("root").agg(F.min(F.struct("least.none", "least.id", "own")).alias("least")).select("least.*"), "kept")
     # Repeated rows fold within tasks first, and whole rows move once for both steps.
     return named.dropDuplicates(row).join(keep, row, "left_semi").select("doc.*")

@@ -1,12 +1,14 @@
 import itertools
 """The pipeline's near copies against brute-force Jaccard."""
 
+import os
 import random
 
 import pytest
 from test_llm_simhash import roots
 
 import corpus_pipeline
+from ringledger.functions.workspace import work_dir
 from ringledger.llm import copies, gray
 
 SCHEMA = "doc_id long, text string"
@@ -182,3 +184,28 @@ def test_marks_drop_pairs_that_are_no_near_copies(spark, monkeypatch):
     texts = {with_edits(words, rng.sample(edits, 6)) for _ in range(80)}
     counts = planned(spark.createDataFrame(list(enumerate(sorted(texts))), SCHEMA), monkeypatch)
     assert sum(counts[copies.STARS :]) < 500
+
+
+def test_rounds_without_links_and_used_tables_leave_nothing(spark, monkeypatch):
+    """Components were worked out anew after each round, links or not, and every table of every round stayed until the end."""
+    rng = random.Random(23)
+    bases = [["".join(rng.choices("mnopqrst", k=7)) for _ in range(200)] for _ in range(4)]
+    texts = [" ".join(x) for x in bases] + [with_edits(x, [(k, f"x{k}") for k in range(9, 200, 28)]) for x in bases]
+    rounds, linked, plain, found = [], [], copies.confirmed, copies.components
+    monkeypatch.setattr(copies, "confirmed", lambda pairs, texts: rounds.append(plain(pairs, texts).count()) or plain(pairs, texts))
+    monkeypatch.setattr(copies, "components", lambda *a: linked.append(1) or found(*a))
+    before = {*os.listdir(work_dir(spark).removeprefix("file:"))}
+    check(spark.createDataFrame(list(enumerate(texts)), SCHEMA))
+    left = {x.rsplit("-", 1)[0] for x in {*os.listdir(work_dir(spark).removeprefix("file:"))} - before}
+    # One for the index, one for the first round, one for each later round with links.
+    assert 0 in rounds[1:] and len(linked) == 2 + sum(n > 0 for n in rounds[1:])
+    assert left == {"near-copy-groups", "kept"}
+
+
+def test_shared_keys_by_broadcast_and_by_shuffle(spark, monkeypatch):
+    """The same rows, whether the shared keys fit a broadcast or not."""
+    keyed = spark.createDataFrame([(b"a", 1), (b"b", 1), (b"b", 2), (b"c", 3), (b"d", 3), (b"e", 3), (b"f", None), (b"g", None)], "node binary, key long")
+    wanted = [(b"a", 1), (b"b", 1), (b"c", 3), (b"d", 3), (b"e", 3)]
+    assert sorted((bytes(r["node"]), r["key"]) for r in copies.shared(keyed).collect()) == wanted
+    monkeypatch.setattr(copies, "small_side", lambda df: df)
+    assert sorted((bytes(r["node"]), r["key"]) for r in copies.shared(keyed).collect()) == wanted
