@@ -268,11 +268,11 @@ class Store:
         row = rows.orderBy(F.desc("step")).limit(1).collect()
         return row[0].asDict() if row else dict.fromkeys(rows.columns, 0)
 
-    def _fresh_keys(self, kind: str, key: str, counters: tuple[str, ...], new: DataFrame) -> DataFrame:
-        """Keys with something counted in the new batches and in none before."""
+    def _fresh_keys(self, kind: str, key: str, counters: tuple[str, ...], new: DataFrame, step: int) -> DataFrame:
+        """Keys with something counted in the new batches and in none before. What a lost attempt at ``step`` left is not read, as it is overwritten."""
         rows = present(self._deltas(kind, new), counters)
         held = cut(rows.select(F.col(key).cast("bigint").alias("key")).distinct(), "keys")
-        known = self._read(f"running/known/{kind}", "key BIGINT, step BIGINT")
+        known = self._read(f"running/known/{kind}", "key BIGINT, step BIGINT").filter(F.col("step") < step)
         done = self._read("running/steps", _STEPS).select("step")
         seen = only(known.join(done, "step", "left_semi"), held, "key").select("key")
         return held.join(seen, "key", "left_anti")
@@ -299,7 +299,7 @@ class Store:
                 state[name] = last[name] + sums_of[name]
             for kind, (key, counters, boards) in _KEYED.items():
                 at = f"{self.root}/running/known/{kind}/step={step}"
-                self._fresh_keys(kind, key, counters, new).write.mode("overwrite").parquet(at)
+                self._fresh_keys(kind, key, counters, new, step).write.mode("overwrite").parquet(at)
                 state[kind] = last[kind] + self.spark.read.schema("key BIGINT").parquet(at).count()
                 if boards:
                     filled = [F.coalesce(F.max(plus(c) > 0), F.lit(False)).cast("bigint").alias(_column(b)) for b, c in boards.items()]
