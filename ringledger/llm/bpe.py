@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from ringledger.llm.rows import batches, map_arrow, texts
-from ringledger.llm.tokens import ChunkIds, default_vocabulary, kept, open_library
+from ringledger.llm.tokens import ChunkIds, Remembered, default_vocabulary, joined, open_library
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -35,8 +35,8 @@ def byte_symbols() -> list[str]:
     return [chr(x) if x in shown else chr(256 + hidden.index(x)) for x in range(256)]
 
 
-#: What no list of ids holds.
-MARK = b"\xff" * 4
+#: Bytes of words that meet the merges at once, which bounds the arrays over them.
+MERGED_BYTES = 1 << 20
 
 
 class PairIndex:
@@ -47,16 +47,16 @@ class PairIndex:
             model = json.load(file)["model"]
         ids, end = model["vocab"], model["end_of_word_suffix"]
         merges = [x if isinstance(x, list) else x.split(" ") for x in model["merges"]]
-        self.left = np.array([ids[a] for a, _ in merges], np.int64)
-        self.right = np.array([ids[b] for _, b in merges], np.int64)
-        self.made = np.array([ids[a + b] for a, b in merges], np.int64)
+        self.left = np.array([ids[a] for a, _ in merges], np.int32)
+        self.right = np.array([ids[b] for _, b in merges], np.int32)
+        self.made = np.array([ids[a + b] for a, b in merges], np.int32)
         self.width = max(ids.values()) + 1
-        codes = self.left * self.width + self.right
-        self.rank_at = np.argsort(codes, kind="stable")
+        codes = self.left * np.int64(self.width) + self.right
+        self.rank_at = np.argsort(codes, kind="stable").astype(np.int32)
         self.codes = codes[self.rank_at]
         shown = byte_symbols()
-        self.inner = np.array([ids[x] for x in shown], np.int64)
-        self.last = np.array([ids[x + end] for x in shown], np.int64)
+        self.inner = np.array([ids[x] for x in shown], np.int32)
+        self.last = np.array([ids[x + end] for x in shown], np.int32)
         # A rank whose product takes part in a lower rank must go one place at a time.
         first_use = np.full(self.width, len(merges), np.int64)
         np.minimum.at(first_use, self.left, np.arange(len(merges)))
@@ -65,7 +65,7 @@ class PairIndex:
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair, -1 for none."""
-        codes = left * self.width + right
+        codes = left * np.int64(self.width) + right
         at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
         return np.where((self.codes[at] == codes) & (left >= 0) & (right >= 0), self.rank_at[at], -1)
 
@@ -74,11 +74,15 @@ class PairIndex:
         if not found:
             return []
         ends = np.cumsum([len(x) for x in found])
+        if ends[-1] > MERGED_BYTES and len(found) > 1:
+            half = len(found) // 2
+            return self.words(found[:half]) + self.words(found[half:])
         data = np.frombuffer(b"".join(found), np.uint8)
         n = len(data)
-        symbol = np.append(self.inner[data], -1)
+        symbol = np.append(self.inner[data], np.int32(-1))
         symbol[ends - 1] = self.last[data[ends - 1]]
-        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        place = np.int32 if n < 1 << 30 else np.int64
+        after, before = np.arange(1, n + 2, dtype=place), np.arange(-1, n, dtype=place)
         after[ends - 1] = n
         before[0], before[ends[:-1]] = n, n
         held: dict[int, list[np.ndarray]] = {}
@@ -99,7 +103,7 @@ class PairIndex:
                     held[rank] = [places[start:stop]]
                     heapq.heappush(active, rank)
 
-        add(self.ranks(symbol[:n], symbol[after[:n]]), np.arange(n))
+        add(self.ranks(symbol[:n], symbol[after[:n]]), np.arange(n, dtype=place))
         while active:
             rank = heapq.heappop(active)
             lists = held.pop(rank)
@@ -114,7 +118,7 @@ class PairIndex:
                     if p != taken:
                         kept.append(p)
                         taken = int(after[p])
-                places = np.array(kept)
+                places = np.array(kept, place)
             if rank in self.single and len(places) > 1:
                 held[rank] = [places[1:]]
                 heapq.heappush(active, rank)
@@ -125,7 +129,7 @@ class PairIndex:
             after[places] = following
             before[following] = places
             previous = before[places]
-            made = np.full(len(places), c)
+            made = np.full(len(places), c, np.int32)
             add(self.ranks(np.concatenate([symbol[previous], made]), np.concatenate([made, symbol[following]])), np.concatenate([previous, places]))
         alive = symbol[:n] >= 0
         stops = (4 * np.cumsum(alive)[ends - 1]).tolist()
@@ -142,26 +146,20 @@ class Codec:
         self.specials = {x.content: i for i, x in self.library.get_added_tokens_decoder().items()}
         self.special = regex.compile("(" + "|".join(map(regex.escape, self.specials)) + ")")
         self.bytes_of = {x: i for i, x in enumerate(byte_symbols())}
-        self.known: dict[str, bytes] = {}
+        self.words = Remembered(lambda words: self.index.words([x.encode() for x in words]), "\n")
         self.ids = ChunkIds([*self.specials], self._chunks, self._odd)
         names = self.library.get_vocab(with_added_tokens=True)
         self.names = [b""] * (max(names.values()) + 1)
         for name, i in names.items():
             self.names[i] = name.encode()
 
-    def _words(self, found: list[str]) -> None:
-        """Learn the ids of these words (distinct)."""
-        new = [x for x in found if x not in self.known]
-        self.known = kept(self.known, found, len(new))
-        self.known.update(zip(new, self.index.words([x.encode() for x in new]), strict=True))
-
     def _chunks(self, chunks: list[str]) -> list[bytes]:
-        # All at once, with a mark between chunks that no ids hold: lists for each would keep the garbage collector busy.
-        split = self.pieces.findall("\n".join(chunks))
-        words = dict.fromkeys(split)
-        words.pop("\n", None)
-        self._words([*words])
-        return b"".join(map((self.known | {"\n": MARK}).__getitem__, split)).split(MARK)
+        # All at once, with a line feed between chunks, which none of them holds: lists for each would keep the garbage collector busy.
+        split = pa.array(self.pieces.findall("\n".join(chunks)), pa.large_string()).dictionary_encode()
+        ends = np.flatnonzero(split.indices.to_numpy() == split.dictionary.index("\n").as_py())
+        data, starts = joined(self.words.listed(split.dictionary), split.indices)
+        edges = [0, *starts[ends].tolist(), len(data)]
+        return [data[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)]
 
     def _odd(self, text: str) -> bytes:
         out = []

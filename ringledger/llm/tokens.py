@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Chunks that a Python worker remembers, about 50 MB, or as many as the texts in hand hold; beyond that it keeps those of them.
+#: Chunks that a Python worker remembers, or as many as the texts in hand hold; beyond that it keeps those of them.
 REMEMBERED = 150_000
 
 #: Of these characters, case and white space are the same everywhere and NFC changes none.
@@ -52,47 +52,70 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-def kept(known: dict[str, bytes], met: list[str], new: int) -> dict[str, bytes]:
-    """``known``, or where ``new`` more are too many for it, what it has of ``met``: frequent chunks are met again and again."""
-    return known if len(known) + new <= REMEMBERED else {x: known[x] for x in met if x in known}
+class Remembered:
+    """Ids of strings as bytes. ``encode`` gives those of new strings; ``blank`` has none.
+
+    Both lie in Arrow arrays, ``blank`` first: as Python objects they would take several times as much.
+    """
+
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], blank: str = ""):
+        self.encode = encode
+        self.known, self.ids = pa.array([blank], pa.large_string()), pa.array([b""], pa.large_binary())
+
+    def listed(self, found: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """Ids of each of these strings (distinct). Where new ones are too many, only what is met again stays: frequent ones always are."""
+        at = pc.index_in(found, value_set=self.known)
+        new = found.filter(at.is_null())
+        if len(self.known) + len(new) > REMEMBERED:
+            # ``blank`` stays first.
+            met = pa.array(np.union1d([0], at.drop_null().to_numpy()))
+            self.known, self.ids = self.known.take(met), self.ids.take(met)
+            at = pc.index_in(found, value_set=self.known)
+        if len(new):
+            ids = pa.array(self.encode(new.to_pylist()), pa.large_binary())
+            places = at.fill_null(-1).to_numpy().copy()
+            places[places < 0] = np.arange(len(self.known), len(self.known) + len(new))
+            at = pa.array(places)
+            self.known, self.ids = pa.concat_arrays([self.known, new]), pa.concat_arrays([self.ids, ids])
+        return self.ids.take(at)
+
+
+def joined(ids: pa.LargeBinaryArray, indices: pa.Array) -> tuple[memoryview, np.ndarray]:
+    """The ids at ``indices``, one after the other, and where each of them begins, with the end of the last."""
+    taken = ids.take(indices)
+    ends = np.frombuffer(taken.buffers()[1], np.int64, len(taken) + 1, 8 * taken.offset)
+    return memoryview(taken.buffers()[2] or b""), ends
 
 
 class ChunkIds:
     """Ids of texts as bytes. ``encode_chunks`` gives the ids of new chunks, ``encode_odd`` of an odd text."""
 
     def __init__(self, specials: list[str], encode_chunks: Callable[[list[str]], list[bytes]], encode_odd: Callable[[str], bytes]):
-        self.known: dict[str, bytes] = {}
-        self.encode_chunks, self.encode_odd = encode_chunks, encode_odd
+        self.chunks, self.encode_odd = Remembered(encode_chunks), encode_odd
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
 
+    @property
+    def known(self) -> pa.LargeStringArray:
+        return self.chunks.known
+
     def plain(self, text: str) -> bool:
         return not (_ODD.search(text) or (self.special and self.special.search(text)))
 
-    def _listed(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each of these chunks (distinct); those not remembered are encoded."""
-        # White space at an end of a text leaves an empty chunk, which has no ids.
-        self.known[""] = b""
-        new = [x for x in chunks if x not in self.known]
-        self.known = kept(self.known, chunks, len(new))
-        if new:
-            self.known.update(zip(new, self.encode_chunks(new), strict=True))
-        return [*map(self.known.__getitem__, chunks)]
-
     def texts(self, found: list[str]) -> list[bytes]:
         plain = [*map(self.plain, found)]
+        # White space at an end of a text leaves an empty chunk.
         split = pc.ascii_split_whitespace(pa.array([x.lower() for x, own in zip(found, plain, strict=True) if own], pa.large_string()))
-        words = split.flatten().dictionary_encode()
-        ids = self._listed(words.dictionary.to_pylist())
-        # The ids of every word, one after the other, from where they lie among those of the distinct chunks.
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        at = words.indices.to_numpy()
-        own = sizes[at]
-        ends = np.append(0, np.cumsum(own))
-        places = np.arange(ends[-1]) + np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], own)
-        flat = np.frombuffer(b"".join(ids), "<u4")[places].tobytes()
-        edges = (4 * ends[split.offsets.to_numpy()]).tolist()
-        out = map(flat.__getitem__, map(slice, edges[:-1], edges[1:]))
-        return [next(out) if own else self.encode_odd(x) for x, own in zip(found, plain, strict=True)]
+        offsets, words = split.offsets.to_numpy(), split.flatten().dictionary_encode()
+        del split
+        # The ids of every word, one after the other.
+        data, starts = joined(self.chunks.listed(words.dictionary), words.indices)
+        edges = starts[offsets].tolist()
+        out = (data[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False))
+        ids = [next(out) if own else self.encode_odd(x) for x, own in zip(found, plain, strict=True)]
+        # What Arrow keeps for later would be twice what is remembered.
+        del words, data, starts, out
+        pa.default_memory_pool().release_unused()
+        return ids
 
 
 def library_ids(vocabulary: str) -> ChunkIds:

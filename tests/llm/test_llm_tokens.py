@@ -1,8 +1,10 @@
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -165,3 +167,22 @@ def test_texts_between_odd_blank_and_padded_ones(library, codec):
     """Chunks of all plain texts are looked up at once: each text gets its own back, blank and odd ones too."""
     for found in ([], [""], ["漢字"], ["漢字", " \t", " a  b\r\n", "", "it's 2nd", "漢 a", "b'll b'll "], ["\n", "x"]):
         assert codec.encode(found) == [packed(library.encode(x, add_special_tokens=False).ids) for x in found]
+
+
+def test_known_ids_take_little_memory():
+    """Known chunks and words were Python objects, about 200 bytes each, and Arrow's spare memory stayed between batches."""
+    chunks = [f"w{n}x" for n in range(100_000)]
+    ids = ChunkIds([], lambda words: [packed([len(x), 7]) for x in words], lambda text: b"")
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    assert ids.texts([" ".join(chunks), "w1x  w5x "]) == [packed([y for x in chunks for y in (len(x), 7)]), packed([3, 7] * 2)]
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert len(ids.known) == 100_001 and held < 6 << 20
+
+
+def test_forgetting_chunks_keeps_blank_and_odd_ones_right(library, codec, monkeypatch):
+    monkeypatch.setattr("ringledger.llm.tokens.REMEMBERED", 3)
+    fresh = bpe.Codec(default_vocabulary())
+    for found in ([" a b "], ["c, d e's", "\n f "], [""], ["a b c d", "漢字 a"], ["a, a b,\n"], ["b"]):
+        assert fresh.encode(found) == codec.encode(found) == [packed(library.encode(x, add_special_tokens=False).ids) for x in found]
