@@ -11,7 +11,6 @@ as bits of a hash in a table of fixed size; phrases of three words with a missin
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -45,68 +44,101 @@ BITS = 27
 #: Scores are in millionths.
 FACTOR = 1_000_000
 
-_PIECES = re.compile("[.,;:!?\x0a-\x0d]+")
+#: Of each byte: 0 in words, 1 for blanks, 2 where a piece ends; and the byte with A to Z in lower case.
+_KIND, _LOWER = np.zeros(256, np.uint8), np.frombuffer(bytes(range(256)).lower(), np.uint8)
+_KIND[[*b" \t"]], _KIND[[*b".,;:!?\n\x0b\x0c\r"]] = 1, 2
 
 
-def pieces(text: str) -> list[list[str]]:
-    """Words of each piece; pieces without a word are left out."""
-    # Bytes know the case of A to Z alone.
-    found = (x.split(" ") for x in _PIECES.split(text.encode().lower().decode().replace("\t", " ")))
-    return [y for y in ([w for w in x if w] for x in found) if y]
-
-
-class Triggers(dict):
-    """Whether a word is a trigger, worked out once as long as the task remembers it."""
+class Triggers:
+    """Which words are triggers: one in ``trigger`` of them, by a checksum of the word."""
 
     def __init__(self, trigger: int = TRIGGER):
-        super().__init__()
         self.trigger = trigger
 
-    def __missing__(self, word: str) -> bool:
-        if len(self) > HELD:
-            self.clear()
-        found = self[word] = zlib.crc32(word.encode()) % self.trigger == 0
-        return found
+    def among(self, words: pa.LargeStringArray) -> np.ndarray:
+        return _checksums(words) % self.trigger == 0
+
+
+def words_of(texts: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray, np.ndarray]:
+    """The words of all texts, in lower case, whether each begins a piece, and how many words come before each text's end."""
+    edges = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    data = _LOWER[np.frombuffer(texts.buffers()[2] or b"", np.uint8)[edges[0] : edges[-1]]]
+    edges = edges - edges[0]
+    kind = _KIND[data]
+    inside = kind == 0
+    # A text begins anew whatever the one before ends with.
+    first = np.zeros(len(data) + 1, bool)
+    first[edges[:-1]] = True
+    first = first[:-1]
+    starts = np.flatnonzero(inside & (first | np.append(True, ~inside[:-1])[: len(data)]))
+    breaks = np.flatnonzero(first | (kind == 2))
+    held = np.append(0, np.cumsum(inside, dtype=np.int64))
+    offsets = np.append(held[starts], held[-1])
+    words = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside]))
+    piece = np.searchsorted(breaks, starts, "right")
+    begins = np.append(True, piece[1:] != piece[:-1])[: len(starts)]
+    return words, begins, np.searchsorted(starts, edges[1:])
+
+
+def _chunked(words: pa.LargeStringArray, begins: np.ndarray, triggers: Triggers, most: int) -> tuple[np.ndarray, np.ndarray, pa.LargeStringArray]:
+    """Where each chunk of these words starts, how many words are its ``own``, and the chunk."""
+    n = len(words)
+    coded = words.dictionary_encode()
+    at = coded.indices.to_numpy()
+    cutting = triggers.among(coded.dictionary)[at] | begins
+    runs = np.flatnonzero(cutting)
+    sizes = np.diff(np.append(runs, n))
+    parts = -(-sizes // most)
+    nth = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    starts = np.repeat(runs, parts) + nth * most
+    own = np.diff(np.append(starts, n))
+    # Up to two words more, as far as the piece goes.
+    pieces = np.append(np.flatnonzero(begins), n)
+    ends = np.minimum(starts + own + WORDS - 1, pieces[np.searchsorted(pieces[:-1], starts, "right")])
+    wide = ends - starts
+    places = np.arange(wide.sum()) - np.repeat(np.cumsum(wide) - wide - starts, wide)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(wide)).astype(np.int32)), coded.dictionary.take(pa.array(at[places])))
+    return starts, own, pc.binary_join(lists, pa.scalar(" ", pa.large_string()))
 
 
 def chunks_of(words: list[str], triggers: Triggers, most: int = MOST) -> list[tuple[int, str]]:
     """``own`` and the chunk: its words with up to two that follow; phrases that start in the first ``own`` count here."""
-    cuts = [k for k, x in enumerate(words) if triggers[x]]
-    if not cuts or cuts[0]:
-        cuts.insert(0, 0)
-    cuts.append(len(words))
-    out = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        for start in range(a, b, most):
-            own = min(b - start, most)
-            out.append((own, " ".join(words[start : start + own + WORDS - 1])))
-    return out
+    _, own, chunks = _chunked(pa.array(words, pa.large_string()), np.arange(len(words)) == 0, triggers, most)
+    return [*zip(own.tolist(), chunks.to_pylist(), strict=True)]
 
 
 def dictionary(docs: DataFrame, trigger: int = TRIGGER, most: int = MOST) -> DataFrame:
     """``lang``, ``own``, ``chunk`` and ``times``: the distinct chunks of all texts with their parse frequencies."""
 
     def task(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        triggers, held = Triggers(trigger), {}
+        triggers, held, size = Triggers(trigger), [], 0
         for batch, values in batches(found):
-            for lang, text in zip(batch.column("lang").to_pylist(), values, strict=True):
-                for words in pieces(text):
-                    for own, chunk in chunks_of(words, triggers, most):
-                        key = (lang, own, chunk)
-                        held[key] = held.get(key, 0) + 1
-            if len(held) > HELD:
+            words, begins, ends = words_of(pa.array(values, pa.large_string()))
+            starts, own, chunks = _chunked(words, begins, triggers, most)
+            langs = batch.column("lang").cast(pa.large_string()).take(pa.array(np.searchsorted(ends, starts, "right")))
+            held.append(pa.table({"lang": langs, "own": own, "chunk": chunks}))
+            size += len(own)
+            if size > HELD:
                 yield _dictionary(held)
-                held = {}
-        yield _dictionary(held)
+                held, size = [], 0
+        if held:
+            yield _dictionary(held)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     parsed = map_arrow(rows, lambda: task, "lang string, own int, chunk string, times long")
     return parsed.groupBy("lang", "own", "chunk").agg(F.sum("times").alias("times"))
 
 
-def _dictionary(held: dict[tuple[str, int, str], int]) -> pa.RecordBatch:
-    columns = [pa.array([k[i] for k in held], t) for i, t in enumerate((pa.string(), pa.int32(), pa.string()))]
-    return pa.RecordBatch.from_arrays([*columns, pa.array([*held.values()], pa.int64())], ["lang", "own", "chunk", "times"])
+def _dictionary(held: list[pa.Table]) -> pa.RecordBatch:
+    """The distinct rows of these tables, and how often each occurs as ``times``."""
+    found = pa.concat_tables(held)
+    langs, chunks = (found[x].combine_chunks().dictionary_encode() for x in ("lang", "chunk"))
+    own = found["own"].to_numpy()
+    wide, tongues = own.max(initial=0) + 1, len(langs.dictionary)
+    codes, times = _tally((chunks.indices.to_numpy().astype(np.int64) * tongues + langs.indices.to_numpy()) * wide + own, np.ones(len(own), np.int64))
+    first = codes // wide
+    columns = [langs.dictionary.take(pa.array(first % tongues)).cast(pa.string()), pa.array(codes % wide, pa.int32()), chunks.dictionary.take(pa.array(first // tongues)).cast(pa.string())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(times)], ["lang", "own", "chunk", "times"])
 
 
 def _tally(codes: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +156,8 @@ def _joined(names: pa.Array, *ids: np.ndarray) -> pa.Array:
 
 
 def _checksums(names: pa.Array) -> np.ndarray:
-    return np.array([zlib.crc32(x.encode()) for x in names.to_pylist()], np.int64)
+    kind = pa.large_binary() if pa.types.is_large_string(names.type) else pa.binary()
+    return np.fromiter(map(zlib.crc32, names.cast(kind).to_pylist()), np.int64, len(names))
 
 
 def _counted(run: pa.Table, bits: np.ndarray | None) -> Iterator[pa.RecordBatch]:
